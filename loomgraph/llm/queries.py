@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op4_jaccard_groups
 from .katz import op1_katz_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
+    "op4_jaccard_groups": op4_jaccard_groups,
 }
 ORACLE_SQL: dict[str, str] = {}
