@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP7_SQL, op7_decontamination
 from .jaccard import op4_jaccard_groups
 from .katz import op1_katz_scores
+from .lines import OP2_SQL, op2_line_dedup
+from .mixing import op10_source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
+    "op2_line_dedup": op2_line_dedup,
     "op4_jaccard_groups": op4_jaccard_groups,
+    "op7_decontamination": op7_decontamination,
+    "op10_source_mix": op10_source_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op7_decontamination": OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
