@@ -172,3 +172,11 @@ def connected(spark: SparkSession, edges: DataFrame, workspace: Workspace, name:
 def remove_local(path: str) -> None:
     """Delete a folder that ``shared_folder`` made for a test session."""
     shutil.rmtree(Path(path.removeprefix("file://")), ignore_errors=True)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; faster than hashing for long integer arrays."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
