@@ -7,10 +7,12 @@ shingles. Then ``|A ^ B| <= d`` with ``d = (100-t)(|A|+|B|) / (100+t)``.
   the two or three bands its partners can fall into.
 * *Sketch.* A band cuts the hash range into ``k`` cells; a cell's key is the XOR of its
   shingles' hashes. Differing shingles touch at most ``d`` cells, so a text with more
-  than ``d`` usable cells shares at least one of them with every partner (pigeonhole).
+  than ``d`` usable cells shares at least one of them with every partner (pigeonhole), and
+  one with ``d + need`` or more shares ``need``. Pairs with fewer common keys are dropped.
   Usable: not empty, and its key not shared by more than ``hot`` texts.
 * *Hot keys* (passages that many texts share, large groups of copies) are not expanded.
-  A text left with ``d`` usable cells or fewer is weak. Pairs of weak texts are found by an
+  A text left with fewer than ``d + need`` usable cells is weak (it is enough that the
+  larger text of a pair is not). Pairs of weak texts are found by an
   exact second way: a common shingle among the first ``|A| - ceil(t|A|/100) + 1`` of each,
   in groups cut into tiles, so that no group meets in one task.
 * *Parity bits.* ``4d`` bits per band hold the parity of shingles per finer cell. Their
@@ -35,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, buckets, connected, mix, pack, smallest, texts, unpack
+from .common import Workspace, buckets, connected, distinct, mix, pack, smallest, texts, unpack
 from .words import batches_of, shingle_hashes, words_of
 
 #: Keys shared by more texts are not expanded into pairs.
-HOT = 64
+HOT = 8
 #: Texts per tile side in the exact second way and in verification.
 TILE = 512
+#: Spare cells of a text in a band in which its partners are all larger than itself: they, not it, must be strong.
+NEVER = 1 << 30
 
 
 class Bands:
@@ -54,7 +58,9 @@ class Bands:
             ends.append(max(ends[-1] + 1, int(ends[-1] * growth)))
         self.ends = np.array(ends, np.int64)
         self.d = (100 - threshold) * self.ends // (100 + threshold)
-        self.k = (1.42 * self.d + 3 * np.sqrt(self.d) + 4).astype(np.int64)
+        self.k = (1.5 * self.d + 3 * np.sqrt(self.d) + 4).astype(np.int64)
+        #: Keys that a pair must have in common.
+        self.need = 1 + self.d // 16
         self.words = (4 * self.d + 63) // 64
 
     def of(self, total: np.ndarray) -> np.ndarray:
@@ -76,7 +82,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h, _, _, first = words_of(column)
     sh, owner = shingle_hashes(h, first)
     key = (owner.astype(np.uint64) << np.uint64(48)) | (sh >> np.uint64(16))
-    key = np.unique(key)
+    key = distinct(key)
     at = np.searchsorted(key, np.arange(len(first), dtype=np.uint64) << np.uint64(48))
     return key & np.uint64((1 << 48) - 1), at
 
@@ -160,7 +166,7 @@ def _sign(bands: Bands, n_buckets: int, id_type: pa.DataType, piece: int):
                 o, b, key = _cells(sets, owner, chosen, band, bands)
                 found.append((o, b, key))
                 filled = np.bincount(o, minlength=len(n))
-                marks += [(int(i), int(band[i]), int(filled[i] - bands.d[band[i]])) for i in np.flatnonzero(chosen)]
+                marks += [(int(i), int(band[i]), int(filled[i] - bands.d[band[i]]) if 2 * n[i] > bands.ends[band[i] - 1] else NEVER) for i in np.flatnonzero(chosen)]
             if marks:
                 i, b, spare = (np.array(x) for x in zip(*marks, strict=True))
                 bits = [_parity(sets, at, x, int(bands.words[y])) for x, y in zip(i.tolist(), b.tolist(), strict=True)]
@@ -203,8 +209,8 @@ def runs_to_pairs(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32())])
-_FOUND_SQL = "kind int, a long, b long, band int"
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("shared", pa.int32())])
+_FOUND_SQL = "kind int, a long, b long, band int, shared int"
 
 
 def _meet(hot: int):
@@ -224,14 +230,22 @@ def _meet(hot: int):
         names, number = np.unique(nodes, return_inverse=True)
         x, y = number[left], number[right]
         band = keys[left] & np.uint64(63)
-        pair = np.unique((np.minimum(x, y).astype(np.uint64) << np.uint64(35)) | (np.maximum(x, y).astype(np.uint64) << np.uint64(6)) | band)
+        pair = np.sort((np.minimum(x, y).astype(np.uint64) << np.uint64(35)) | (np.maximum(x, y).astype(np.uint64) << np.uint64(6)) | band)
+        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
+        shared = np.diff(np.concatenate([head, [len(pair)]]))
+        pair = pair[head]
         a, b = names[(pair >> np.uint64(35)).astype(np.int64)], names[((pair >> np.uint64(6)) & np.uint64((1 << 29) - 1)).astype(np.int64)]
-        band = (pair & np.uint64(63)).astype(np.int32)
         keep = a != b
         many = np.repeat(length > hot, length)
         mark, count = np.unique((number[many].astype(np.uint64) << np.uint64(6)) | (keys[many] & np.uint64(63)), return_counts=True)
-        kind = np.concatenate([np.ones(int(keep.sum()), np.int32), np.full(len(mark), 2, np.int32)])
-        return pa.Table.from_arrays([pa.array(kind), pa.array(np.concatenate([a[keep], names[(mark >> np.uint64(6)).astype(np.int64)]])), pa.array(np.concatenate([b[keep], count.astype(np.int64)])), pa.array(np.concatenate([band[keep], (mark & np.uint64(63)).astype(np.int32)]))], schema=_FOUND)
+        columns = [
+            np.concatenate([np.ones(int(keep.sum())), np.full(len(mark), 2)]),
+            np.concatenate([a[keep], names[(mark >> np.uint64(6)).astype(np.int64)]]),
+            np.concatenate([b[keep], np.zeros(len(mark), np.int64)]),
+            np.concatenate([(pair & np.uint64(63))[keep], mark & np.uint64(63)]),
+            np.concatenate([shared[keep], count]),
+        ]
+        return pa.Table.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
     return run
 
@@ -312,7 +326,7 @@ def _verify(threshold: int):
         sets, n, classes = np.concatenate(parts), np.concatenate(sizes), np.concatenate(classes)
         at = np.concatenate([[0], np.cumsum(n)])
         names, where = np.unique(classes, return_index=True)
-        dense = np.unique(sets, return_inverse=True)[1]
+        dense = np.searchsorted(distinct(sets), sets)
         mark = np.zeros(int(dense.max(initial=0)) + 1, bool)
         x, y = (where[np.minimum(np.searchsorted(names, v), len(names) - 1)] for v in (a, b))
         known = (classes[x] == a) & (classes[y] == b)
@@ -366,13 +380,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     right = marks.select(F.col("node").alias("b"), "band", F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     total = F.col("na") + F.col("nb")
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    pairs = found.where("kind = 1").select("a", "b", "band").distinct().join(left, ["a", "band"]).join(right, ["b", "band"]).where("ca <> cb")
+    need = F.element_at(F.array(*[F.lit(int(x)) for x in bands.need]), F.col("band") + 1)
+    pairs = found.where("kind = 1").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= need).drop("shared").join(left, ["a", "band"]).join(right, ["b", "band"]).where("ca <> cb")
     pairs = pairs.where((F.least("na", "nb") * 100 >= threshold * F.greatest("na", "nb")) & (differ <= F.floor((100 - threshold) * total / (100 + threshold))))
     pairs = pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
     # Weak texts among themselves.
-    lost = found.where("kind = 2").groupBy(F.col("a").alias("node"), "band").agg(F.sum("b").alias("lost"))
-    weak = marks.select("node", "class", "band", "spare").join(lost, ["node", "band"], "left").where("spare - coalesce(lost, 0) <= 0").select("class").distinct()
+    lost = found.where("kind = 2").groupBy(F.col("a").alias("node"), "band").agg(F.sum("shared").alias("lost"))
+    weak = marks.select("node", "class", "band", "spare").join(lost, ["node", "band"], "left").where(F.col("spare") - F.coalesce("lost", F.lit(0)) < need).select("class").distinct()
     weak = ws.write(weak, "weak")
     heads = _with_text(source, classes.join(weak, "class")).select("text").mapInArrow(_heads(bands, piece), "shingle long, class long, n long").distinct()
     heads = ws.write(heads, "heads")
