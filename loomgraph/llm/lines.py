@@ -167,7 +167,7 @@ def _rewrite(text_at: int, n_buckets: int, least: int, schema: pa.Schema):
 class LineRuns:
     """Sorted runs of line keys, by level, each a Parquet table of one row per bucket."""
 
-    def __init__(self, spark, least: int = 1, min_texts: int = 10, fanout: int = FANOUT, piece: int = 8_000_000):
+    def __init__(self, spark, least: int = 1, min_texts: int = 10, fanout: int = FANOUT, piece: int = 4_000_000):
         self.ws, self.n = Workspace(spark, "lines"), buckets(spark)
         self.least, self.min_texts, self.fanout, self.piece = least, min_texts, fanout, piece
         self.levels: list[list[DataFrame]] = []

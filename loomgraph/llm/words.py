@@ -125,14 +125,17 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def batches_of(batches, n_bytes: int, n_rows: int = 50_000):
-    """Join Arrow batches until they hold ``n_bytes`` or ``n_rows``; each result is a table with contiguous columns."""
+    """Arrow batches cut or joined to tables of about ``n_bytes`` and at most ``n_rows`` rows, with contiguous columns."""
     held, size, rows = [], 0, 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        rows += batch.num_rows
-        if size >= n_bytes or rows >= n_rows:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size, rows = [], 0, 0
-    if held and sum(b.num_rows for b in held):
+        step = max(1, min(n_rows, int(batch.num_rows * n_bytes / max(1, batch.nbytes))))
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            if held and (size + part.nbytes > n_bytes or rows + part.num_rows > n_rows):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, rows = [], 0, 0
+            held.append(part)
+            size += part.nbytes
+            rows += part.num_rows
+    if held:
         yield pa.Table.from_batches(held).combine_chunks()
