@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import corpus_queries, ontology_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ontology_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**ontology_queries.ORACLE, **corpus_queries.ORACLE}
