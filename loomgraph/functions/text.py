@@ -48,7 +48,7 @@ def shorten_uri(uri: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` followed by white space; blank pieces left out."""
     parts = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: F.length(s) > 0)
 
 
 def is_prose(sentence: Column) -> Column:

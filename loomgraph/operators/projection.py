@@ -46,7 +46,8 @@ def nearest_parents(kept: DataFrame, anc: DataFrame, depth: DataFrame, cap: int)
 def projected_depths(tree: DataFrame, cap: int) -> DataFrame:
     """Root 0, else parent + 1 up to ``cap``; ``tree(term_id, parent, ...)``."""
     rounds = Rounds(tree.sparkSession, "projected")
-    links = rounds.write(tree.select("term_id", "parent"))
+    tree = rounds.write(tree)
+    links = tree.select("term_id", "parent")
     done = rounds.write(links.where("parent is null").select("term_id", F.lit(0).alias("depth")))
     level = 0
     while True:

@@ -14,6 +14,10 @@ def _top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)) - 1)
 
 
+def _equals(word: str):
+    return lambda t: t == word
+
+
 def overlap_search(chunks: DataFrame, query: list[str], k: int) -> DataFrame:
     """Number of distinct query tokens in the text."""
     q = F.array(*[F.lit(t) for t in query])
@@ -27,7 +31,7 @@ def bm25(chunks: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float
     all terms is shuffled.
     """
     words = tokens(F.col("text"))
-    counts = [F.size(F.filter("w", lambda t, q=q: t == q)).alias(f"tf{i}") for i, q in enumerate(query)]
+    counts = [F.size(F.filter("w", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query)]
     tf = chunks.select("chunk_id", words.alias("w")).select("chunk_id", F.size("w").alias("len"), *counts)
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(query))])
     score = F.lit(0.0)

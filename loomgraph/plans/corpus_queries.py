@@ -45,8 +45,8 @@ def cooccurrence_edges(t):
     return graphs.cooccurrence_edges(t.links, TAU, 2, 0.4).withColumn("weight", F.round("weight", 9))
 
 
-@query(_EDGES + """, m AS (SELECT DISTINCT chunk_id, chunk_id % 11 AS theme_id FROM links), w AS (SELECT m.theme_id, m.chunk_id, round(coalesce(sum(e.weight), 0), 9) AS w FROM m LEFT JOIN (SELECT a, b, weight FROM co UNION ALL SELECT b, a, weight FROM co) e ON e.a = m.chunk_id AND e.b % 11 = m.theme_id GROUP BY ALL)
-SELECT theme_id, primary_id, score FROM (SELECT theme_id, chunk_id AS primary_id, w AS score, row_number() OVER (PARTITION BY theme_id ORDER BY w DESC, chunk_id) AS k FROM w) WHERE k = 1""", True)
+@query(_EDGES + """, m AS (SELECT DISTINCT chunk_id, chunk_id % 11 AS theme_id FROM links), ew AS (SELECT m.theme_id, m.chunk_id, round(coalesce(sum(e.weight), 0), 9) AS w FROM m LEFT JOIN (SELECT a, b, weight FROM co UNION ALL SELECT b, a, weight FROM co) e ON e.a = m.chunk_id AND e.b % 11 = m.theme_id GROUP BY ALL)
+SELECT theme_id, primary_id, score FROM (SELECT theme_id, chunk_id AS primary_id, w AS score, row_number() OVER (PARTITION BY theme_id ORDER BY w DESC, chunk_id) AS k FROM ew) WHERE k = 1""", True)
 def edge_degree_primary(t):
     members = t.links.select("chunk_id", (F.col("chunk_id") % 11).alias("theme_id")).distinct()
     return graphs.degree_primary(graphs.cooccurrence_edges(t.links, TAU, 2, 0.4), members)

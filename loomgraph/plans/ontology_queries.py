@@ -179,7 +179,7 @@ def entity_edges(t):
     return entities.entity_edges(t.links)
 
 
-@query("SELECT term_id, surface FROM (SELECT term_id, surface, row_number() OVER (PARTITION BY term_id ORDER BY count(*) DESC, surface) AS k FROM links GROUP BY ALL) WHERE k = 1")
+@query("SELECT term_id, surface FROM (SELECT term_id, surface, row_number() OVER (PARTITION BY term_id ORDER BY count(*) DESC, surface) AS k FROM links GROUP BY term_id, surface) WHERE k = 1")
 def entity_mode_surface(t):
     return entities.mode_of(t.links, "surface")
 

@@ -6,10 +6,13 @@ brand/type node has two parents), chunks from documents, vectors from embeddings
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attach, ontology, projection, support
+from ..session import Rounds
 
 FLOOR, TAU, MIN_SUPPORT, CAP = 0.925, 0.955, 30, 5
 ROOT = "facet:all"
@@ -18,10 +21,15 @@ BY_PREFIX = {"P": "sustainability"}
 
 
 class Tables:
-    """Stand-in frames of one data directory; each is a lazy plan over Parquet scans."""
+    """Stand-in frames of one data directory.
+
+    Scans stay lazy; phases that several later ones read (closure, support, shelves) are
+    written once per query.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._phases = Rounds(spark, "phases")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -46,11 +54,11 @@ class Tables:
         pairs = F.array(*[F.struct(c.alias("child"), d.alias("parent")) for c, d in ((leaf, mid), (mid, brand), (mid, kind), (brand, F.lit("ROOT")), (kind, F.lit("ROOT")))])
         return p.select(F.explode(pairs).alias("e")).select("e.child", "e.parent").distinct()
 
-    @property
+    @cached_property
     def anc(self) -> DataFrame:
         return ontology.closure(self.is_a)
 
-    @property
+    @cached_property
     def depth(self) -> DataFrame:
         return ontology.depths(self.is_a)
 
@@ -62,31 +70,31 @@ class Tables:
         inner = e.select(F.explode(F.array("child", "parent")).alias("id")).where("id not like 'P:%'").distinct()
         return p.unionByName(inner.select("id", F.lower(F.regexp_replace("id", "^[A-Z]+:", "")).alias("label"), F.array().cast("array<string>").alias("synonyms"), F.lit(False).alias("obsolete")))
 
-    @property
+    @cached_property
     def direct(self) -> DataFrame:
         return support.direct_pairs(support.above_floor(self.links, FLOOR))
 
-    @property
+    @cached_property
     def support(self) -> DataFrame:
-        return support.support(self.direct, self.anc)
+        return self._phases.write(support.support(self.direct, self.anc))
 
-    @property
+    @cached_property
     def survivors(self) -> DataFrame:
         c = projection.PruneConfig(min_support=MIN_SUPPORT, direct_share_max=0.0)
         return projection.survivors(self.support, c).where("term_id <> 'ROOT'")
 
-    @property
+    @cached_property
     def tree(self) -> DataFrame:
         """Survivors with parent and projected depth."""
-        return projection.projected_depths(projection.nearest_parents(self.survivors, self.anc, self.depth, CAP), CAP)
+        return self._phases.write(projection.projected_depths(projection.nearest_parents(self.survivors, self.anc, self.depth, CAP), CAP))
 
-    @property
+    @cached_property
     def shelves(self) -> DataFrame:
         """(shelf_id, term_id, label, parent, depth, direct, chunk_count) under a synthetic root."""
         pairs = support.propagated_pairs(self.direct, self.anc)
         s = projection.with_single_root(self.tree, pairs, ROOT)
         label = F.lower(F.regexp_replace("term_id", "^[A-Za-z]+:", ""))
-        return s.select(F.col("term_id").alias("shelf_id"), "term_id", label.alias("label"), "parent", "depth", "direct", F.col("with_descendants").alias("chunk_count"))
+        return self._phases.write(s.select(F.col("term_id").alias("shelf_id"), "term_id", label.alias("label"), "parent", "depth", "direct", F.col("with_descendants").alias("chunk_count")))
 
     def see_also(self, shelves: DataFrame) -> DataFrame:
         """Every seventh part that is no shelf is listed by its brand/type shelf."""
@@ -94,7 +102,7 @@ class Tables:
         e = e.where(F.substring("term_id", 3, 20).cast("long") % 7 == 0)
         return e.join(shelves.select("term_id"), "term_id", "left_anti").join(shelves.select("shelf_id"), "shelf_id", "left_semi").select("term_id", "shelf_id")
 
-    @property
+    @cached_property
     def resolved(self) -> DataFrame:
         s = self.shelves
         return attach.resolve(self.links, s.select("shelf_id", "term_id", "depth"), self.see_also(s), self.anc, ROOT)
