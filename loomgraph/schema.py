@@ -20,4 +20,8 @@ _DDL = {
     "artifacts": "artifact_id string, phase string, config_hash string, upstream_artifact_ids array<string>, record_count bigint, schema_version string, created_at timestamp",
     "gold": "text string, expected_id string, tier string",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema_of(table: str) -> T.StructType:
+    """The struct type of a table; parsing needs an active session."""
+    return T.StructType.fromDDL(_DDL[table])

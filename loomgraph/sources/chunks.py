@@ -10,15 +10,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import section_of, year_of
-from ..schema import SCHEMAS
+from ..schema import schema_of
 
 CSV_COLUMNS = ("chunk_id", "chunk_text", "type", "chunk_metadata")
 KINDS = ("abstract", "textbook", "guide")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def literal_to_json(values: pd.Series) -> pd.Series:
     """Python dict literals as JSON with sorted keys; null where a text is no dict literal."""
 
@@ -38,15 +39,11 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     missing = [c for c in CSV_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    kind = F.lower(F.trim("type"))
-    rows = raw.select(F.col("chunk_id"), F.col("chunk_text").alias("text"), kind.alias("source_type"), literal_to_json("chunk_metadata").alias("source_metadata"))
-    good = (F.trim(F.coalesce("chunk_id", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != "") & kind.isin(*KINDS) & F.col("source_metadata").isNotNull()
+    rows = raw.select("chunk_id", F.col("chunk_text").alias("text"), F.lower(F.trim("type")).alias("source_type"), literal_to_json("chunk_metadata").alias("source_metadata"))
+    good = (F.trim(F.coalesce("chunk_id", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != "") & F.coalesce("source_type", F.lit("")).isin(*KINDS) & F.col("source_metadata").isNotNull()
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("bad corpus row: "), F.coalesce("chunk_id", F.lit("?")))).cast("boolean"))
-        rows = raw.select("*").select(F.col("chunk_id"), F.col("chunk_text").alias("text"), kind.alias("source_type"), literal_to_json("chunk_metadata").alias("source_metadata"))
-        return normalise(rows.where(good))
-    known = (F.trim(F.coalesce("chunk_id", F.lit(""))) != "") & (F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("source_type").isin(*KINDS) & F.col("source_metadata").isNotNull()
-    return normalise(rows.where(known))
+    return normalise(rows.where(good))
 
 
 def _first(*values):
@@ -63,7 +60,7 @@ def normalise(rows: DataFrame) -> DataFrame:
 
 def complete(rows: DataFrame) -> DataFrame:
     """All columns of the chunk schema, missing ones null."""
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS["chunks"]])
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of("chunks")])
 
 
 def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -75,7 +72,7 @@ def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     if name.endswith(".csv"):
         return read_csv(spark, path, strict)
     if name.endswith((".jsonl", ".ndjson")):
-        return complete(spark.read.schema(SCHEMAS["chunks"]).json(path))
+        return complete(spark.read.schema(schema_of("chunks")).json(path))
     if name.endswith(".parquet"):
         return complete(spark.read.parquet(path))
     if os.path.isdir(local):
@@ -86,7 +83,7 @@ def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS["gold"]).json(path)
+    return spark.read.schema(schema_of("gold")).json(path)
 
 
 def map_texts(chunks: DataFrame, mapper, schema: str) -> DataFrame:
