@@ -19,14 +19,12 @@ def linker_report(gold: DataFrame, got: DataFrame) -> DataFrame:
 
 def findability(clicks: DataFrame, within: int = 3) -> DataFrame:
     """``clicks(query, depth)``, depth null when unreachable: median, nearest-rank p90, shares over all queries."""
-    depths = F.array_sort(F.collect_list("depth"))
-    g = clicks.agg(F.count("*").alias("n"), F.count("depth").alias("reached"), F.count_if(F.col("depth") <= within).alias("near"), F.median("depth").alias("median_clicks"), F.percentile("depth", 0.5).alias("_p"))
+    g = clicks.agg(F.count("*").alias("n"), F.count("depth").alias("reached"), F.count_if(F.col("depth") <= within).alias("near"), F.median("depth").alias("median_clicks"))
     # Nearest rank over a histogram of depths, which is as small as the tree is deep.
     hist = clicks.where("depth is not null").groupBy("depth").agg(F.count("*").alias("c"))
     at = F.bround(0.9 * (F.col("reached") - 1)).cast("long")
     cum = hist.groupBy().agg(F.array_sort(F.collect_list(F.struct("depth", "c"))).alias("h"))
     found = g.crossJoin(F.broadcast(cum)).withColumn("p90_clicks", F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("d")), lambda s, x: F.struct((s.seen + x.c).alias("seen"), F.when(s.d.isNull() & (s.seen + x.c > at), x.depth.cast("int")).otherwise(s.d).alias("d")), lambda s: s.d))
-    del depths
     return found.select("n", "median_clicks", "p90_clicks", (F.col("near") / F.col("n")).alias("share_within"), (F.col("reached") / F.col("n")).alias("share_reachable"))
 
 

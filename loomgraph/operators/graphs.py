@@ -35,6 +35,30 @@ def cooccurrence_edges(links: DataFrame, tau: float, min_shared: int, max_df_sha
     return a.join(b, "term_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(1 / F.log(1 + F.col("df"))).alias("weight")).where(F.col("shared") >= min_shared)
 
 
+def _block_pairs(queries: DataFrame, vectors: DataFrame, block: int):
+    """Both sides cut into hash blocks of about ``block`` rows, each copied to the blocks it meets."""
+
+    def cut(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)), n
+
+    q, nq = cut(queries, "qb")
+    d, nd = cut(vectors, "db")
+    left = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+    right = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db"))
+
+
+def _product(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of either side (the right one sorted) and the dot products."""
+    x, y = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
+    order = np.argsort(b["id"].to_numpy(), kind="stable")
+    return a["id"].to_numpy(), b["id"].to_numpy()[order], (x @ y.T)[:, order]
+
+
+_NEAR = "query_id long, neighbour_id long, sim double"
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """Exact k nearest by dot product of unit vectors, self left out; ties by id. (query_id, neighbour_id, sim, rank).
 
@@ -43,33 +67,34 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> Da
     with both sides; for much larger tables use ``lsh_knn``.
     """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-df.count() // block))
-        return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)), n
-
-    q, nq = blocks(queries, "qb")
-    d, nd = blocks(vectors, "db")
-    left = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-    right = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "neighbour_id": [], "sim": []})
-        x, y = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
-        ids, names = a["id"].to_numpy(), b["id"].to_numpy()
-        order = np.argsort(names, kind="stable")
-        names, sim = names[order], (x @ y.T)[:, order]
+        ids, names, sim = _product(a, b)
         sim[ids[:, None] == names[None, :]] = -np.inf
         top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(ids)), top.shape[1])
         found = pd.DataFrame({"query_id": ids[rows], "neighbour_id": names[top.ravel()], "sim": sim[rows, top.ravel()]})
         return found[np.isfinite(found["sim"])]
 
-    part = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(product, "query_id long, neighbour_id long, sim double")
+    part = _block_pairs(queries, vectors, block).applyInPandas(best, _NEAR)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "neighbour_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pairs_above(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """All pairs (a < b) with a dot product above the threshold; only those leave their block product."""
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": [], "sim": []})
+        ids, names, sim = _product(a, b)
+        i, j = np.nonzero((sim > threshold) & (ids[:, None] < names[None, :]))
+        return pd.DataFrame({"a": ids[i], "b": names[j], "sim": sim[i, j]})
+
+    return _block_pairs(vectors, vectors, block).applyInPandas(near, "a long, b long, sim double")
+
+
 def knn_edges(vectors: DataFrame, k: int, threshold: float, mutual: bool = True) -> DataFrame:
     """Edges a < b with similarity >= threshold where both (or either) rank the other among their k nearest."""
     near = knn(vectors, vectors, k).where(F.col("sim") >= threshold).select(F.least("query_id", "neighbour_id").alias("a"), F.greatest("query_id", "neighbour_id").alias("b"), "sim")

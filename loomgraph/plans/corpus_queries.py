@@ -323,9 +323,7 @@ def scaffolding(t):
 
 @query(f"WITH {_SIM} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS sim FROM v a, v b WHERE a.vec_id < b.vec_id AND list_dot_product(a.e, b.e) > 0.5")
 def consolidation_pairs(t):
-    n = t.vectors.count()
-    near = graphs.knn(t.vectors, t.vectors, n).where("query_id < neighbour_id and sim > 0.5")
-    return near.select(F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"), F.round("sim", 9).alias("sim"))
+    return graphs.pairs_above(t.vectors, 0.5).withColumn("sim", F.round("sim", 9))
 
 
 @query("""WITH g AS (SELECT p_name AS text, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS expected_id, CASE WHEN p_size % 5 = 0 THEN 'miss' WHEN p_size % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS tier, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 11 = 0 THEN 'x' ELSE p_brand END AS id FROM part)
