@@ -115,7 +115,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
 
     # Null ids come last, cut by their texts' hashes.
-    nulls = F.lit(len(cuts) + 1) + F.shiftrightunsigned(F.col("h") + F.lit(-(1 << 63)), 58).cast("int")
+    nulls = F.lit(len(cuts) + 33) + F.shiftright("h", 58).cast("int")
     placed = rows.withColumn("target", F.when(F.col("doc_id").isNull(), nulls).otherwise(place(F.coalesce("doc_id", F.lit(0).cast("long")))))
     # One small row per range reaches the driver: its first row's id and hash.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "h")
@@ -123,7 +123,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     if not heads:
         return placed.withColumn("tail", F.lit(False))
     ring = [(r.head.none, r.head.id, r.head.h, heads[i - 1].target) for i, r in enumerate(heads)]
-    small = spark.createDataFrame(ring, "none boolean, id long, hh long, before int")
+    small = F.broadcast(spark.createDataFrame(ring, "none boolean, id long, hh long, before int"))  # one row per range
     on = (placed.doc_id.isNull() == small.none) & (F.coalesce(placed.doc_id, F.lit(0).cast("long")) == small.id) & (placed.h == small.hh)
     tails = placed.join(small, on).dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "h", F.col("before").alias("target"), F.lit(True).alias("tail"))
     both = placed.withColumn("tail", F.lit(False)).unionByName(tails)
