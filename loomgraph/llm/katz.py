@@ -24,7 +24,8 @@ Definitions, evaluated per token from the highest order down:
   Where counts of counts do not give 0 < d(r) <= 1, absolute discounting takes over. A
   context left without any mass by this (all its counts above k) lends one count.
 
-Words are 64-bit hashes; within a context 48 bits tell words apart.
+Words are 64-bit hashes; within a context 40 bits tell words apart. Bigrams are counted in
+``WAVES`` waves of buckets, so that only a part of all requests is under way at a time.
 
 Nulls: a null text is an empty one, i.e. the end token alone; a null id is kept and is
 hashed as the empty text. Repeated rows are scored and counted once per row. An empty
@@ -50,6 +51,8 @@ from .common import LOWER, Workspace, as_bytes, buckets, mix, pack, remainder, s
 END, BEGIN = b"", b"\n"
 #: Katz's cut-off: counts above it are trusted.
 CUTOFF = 5
+#: Waves of buckets in which bigrams are counted.
+WAVES = 3
 
 
 def discounts(n: list[int], k: int = CUTOFF) -> list[float]:
@@ -143,18 +146,18 @@ def _blocks(n_buckets: int, block_tokens: int, id_type: pa.DataType):
     return run
 
 
-def _w48(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(16)
+def _short(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(24)
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    """The low six bytes of each number, as six byte arrays in one."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+def _five(x: np.ndarray) -> np.ndarray:
+    """The low five bytes of each number, as five byte arrays in one."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
 
 
-def _unsix(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = b.reshape(-1, 6)
+def _unfive(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = b.reshape(-1, 5)
     return out.reshape(-1).view("<u8")
 
 
@@ -198,11 +201,15 @@ def _gather(table: pa.Table) -> tuple:
     return table.column("ids")[row].as_py(), lengths, held.astype(bool), seq, h, totals, key, starts, twos
 
 
-def _ask_bigrams(n_buckets: int):
+def _ask_bigrams(n_buckets: int, wave: int):
     def run(table: pa.Table) -> pa.Table:
         _, lengths, held, _, h, totals, key, _, _ = _gather(table)
         train = np.repeat(~held, lengths)
-        marked = np.sort((key << np.uint64(1)) | train)
+        mine = (h % np.uint64(n_buckets)) % np.uint64(WAVES) == wave
+        mine = mine[(key >> np.uint64(32)).astype(np.int64)]
+        marked = np.sort((key[mine] << np.uint64(1)) | train[mine])
+        if not len(marked):
+            return _reply([])
         pair = marked >> np.uint64(1)
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
@@ -214,7 +221,7 @@ def _ask_bigrams(n_buckets: int):
         for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if j > i:
                 own, runs = np.unique(context[i:j], return_counts=True)
-                rows.append((block, b, pack(h[own], smallest(runs), _six(_w48(h[word[i:j]])), smallest(counts[i:j]), smallest(totals[word[i:j]])), None))
+                rows.append((block, b, pack(h[own], smallest(runs), _five(_short(h[word[i:j]])), smallest(counts[i:j]), smallest(totals[word[i:j]])), None))
         return _reply(rows)
 
     return run
@@ -228,7 +235,7 @@ def _add_bigrams(stats: list[int]):
         asked = np.concatenate([p[0] for p in parts])
         contexts, local = np.unique(asked, return_inverse=True)
         of = np.repeat(local, np.concatenate([p[1] for p in parts]).astype(np.int64))
-        word = np.concatenate([_unsix(p[2]) for p in parts])
+        word = np.concatenate([_unfive(p[2]) for p in parts])
         key = mix(contexts)[of] + mix(word)
         types, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         count = np.bincount(inverse, np.concatenate([p[3] for p in parts]).astype(np.float64)).astype(np.int64)
@@ -247,7 +254,7 @@ def _add_bigrams(stats: list[int]):
         for b, a, c in zip(table.column("block").to_pylist(), np.split(local, at), np.split(count[inverse], split), strict=True):
             rows.append((b, bucket, pack(smallest(c), mass[a], *[smallest(x[a]) for x in per]), None))
         order = np.lexsort((word[seen], of_type[seen]))
-        model = pack(contexts, mass, *[smallest(x) for x in per], smallest(np.bincount(of_type[seen], minlength=n)), _six(word[seen][order]), smallest(count[seen][order]))
+        model = pack(contexts, mass, *[smallest(x) for x in per], smallest(np.bincount(of_type[seen], minlength=n)), _five(word[seen][order]), smallest(count[seen][order]))
         rows.append((-1, bucket, model, [int((count == r).sum()) for r in range(1, CUTOFF + 2)]))
         return _reply(rows)
 
@@ -311,8 +318,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     tokens = blocks.where("kind = 0").select("block", "bucket", "ids", "payload", "kind")
     none = F.lit(None).cast(f"array<{id_type.simpleString()}>").alias("ids")
     known = tokens.union(unigrams.where("block >= 0").select("block", "bucket", none, "payload", F.lit(2)))
-    asked = known.groupBy("block").applyInArrow(_ask_bigrams(n), _REPLY_SQL)
-    bigrams = ws.write(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_add_bigrams(stats), _REPLY_SQL), "bigrams")
+    ws.drop("blocks/kind=1")
+    bigrams = None
+    for wave in range(WAVES):
+        asked = known.groupBy("block").applyInArrow(_ask_bigrams(n, wave), _REPLY_SQL)
+        part = ws.write(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_add_bigrams(stats), _REPLY_SQL), f"bigrams-{wave}")
+        bigrams = part if bigrams is None else bigrams.union(part)
     pairs = _summed(bigrams, 1 + CUTOFF)
     known = known.union(bigrams.where("block >= 0").select("block", "bucket", none, "payload", F.lit(3)))
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
