@@ -313,12 +313,11 @@ def metadata_fields(t):
     return t.read("events").select("event_id", fx.year_of(k).alias("year"), F.coalesce(F.nullif(F.trim(k), F.lit("")), "event_type").alias("source_doc"))
 
 
-@query("SELECT c_mktsegment AS label, n, last IN ('product', 'food', 'material', 'type', 'group', 'category', 'class') AND n % 2 = 0 AS scaffolding FROM (SELECT c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' product' ELSE '' END AS c_mktsegment, c_custkey % 4 AS n, regexp_extract(lower(c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' product' ELSE '' END), '([a-z]+)$', 1) AS last FROM customer WHERE c_custkey % 4 IN (0, 2) AND c_custkey % 4 = 0 UNION ALL SELECT c_mktsegment, 1, '' FROM customer WHERE c_custkey % 4 = 1)")
+@query("SELECT label, n, regexp_extract(lower(label), '([a-z0-9]+)$', 1) IN ('product', 'food', 'material', 'type', 'group', 'category', 'class') AND n = 0 AS scaffolding FROM (SELECT c_mktsegment || CASE WHEN c_nationkey < 9 THEN ' product' ELSE '' END AS label, c_custkey % 4 AS n FROM customer)")
 def scaffolding(t):
-    c = t.read("customer").where("c_custkey % 4 in (0, 1)")
-    label = F.when((F.col("c_custkey") % 4 == 0) & (F.col("c_custkey") % 3 == 0), F.concat("c_mktsegment", F.lit(" product"))).otherwise(F.col("c_mktsegment"))
+    label = F.when(F.col("c_nationkey") < 9, F.concat("c_mktsegment", F.lit(" product"))).otherwise(F.col("c_mktsegment"))
     n = F.col("c_custkey") % 4
-    return c.select(label.alias("label"), n.alias("n"), fx.is_scaffolding(label, n).alias("scaffolding"))
+    return t.read("customer").select(label.alias("label"), n.alias("n"), fx.is_scaffolding(label, n).alias("scaffolding"))
 
 
 @query(f"WITH {_SIM} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 9) AS sim FROM v a, v b WHERE a.vec_id < b.vec_id AND list_dot_product(a.e, b.e) > 0.5")
@@ -396,13 +395,13 @@ def multi_get(t):
     return ids.join(t.chunks, "chunk_id").select("chunk_id", "pos")
 
 
-@query("SELECT source AS theme_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents) WHERE k <= 3 OR k > (SELECT count(*) FROM documents d WHERE d.source = source) GROUP BY source")
+@query("SELECT source AS theme_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY source")
 def longest_per_source(t):
     w = Window.partitionBy("theme_id").orderBy(F.desc(F.length("text")), "chunk_id")
     top = _members(t).withColumn("k", F.row_number().over(w)).where("k <= 3")
     return top.groupBy("theme_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("chunk_id")), lambda x: x.cast("string")), ",").alias("chunk_ids"))
 
 
-@query("SELECT doc_id AS chunk_id, lang || '/' || CASE WHEN s = '' THEN 'unlabeled' ELSE s END AS slug FROM (SELECT doc_id, lang, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS s FROM documents)")
+@query("SELECT doc_id AS chunk_id, lang || '/' || CASE WHEN s = '' THEN 'unlabeled' ELSE s END AS slug FROM (SELECT doc_id, lang, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS s FROM documents)")
 def theme_slugs(t):
-    return t.chunks.select("chunk_id", F.concat("source_type", F.lit("/"), fx.slug(F.substring("text", 1, 60))).alias("slug"))
+    return t.chunks.select("chunk_id", F.concat("source_type", F.lit("/"), fx.slug(F.col("text"))).alias("slug"))

@@ -81,12 +81,13 @@ def ontology_descendants(t):
     return ontology.descendant_counts(t.anc)
 
 
-@query(""", g AS (SELECT p_size AS grp, 'P:' || p_partkey AS term FROM part WHERE p_partkey < 200 AND p_type IN ('SMALL', 'LARGE') AND p_brand < 'Brand#2'),
+@query(""", g AS (SELECT p_brand || '+' || CASE WHEN p_size < 25 THEN p_type ELSE 'any' END AS grp, 'P:' || p_partkey AS term FROM part),
 r AS (SELECT term, ancestor FROM anc UNION SELECT term, term FROM g), c AS (SELECT grp, ancestor, count(DISTINCT g.term) AS m FROM g JOIN r ON g.term = r.term GROUP BY ALL),
 n AS (SELECT grp, count(DISTINCT term) AS n FROM g GROUP BY grp), a AS (SELECT term, count(*) AS above FROM anc GROUP BY term)
 SELECT grp AS "group", lca FROM (SELECT c.grp, c.ancestor AS lca, row_number() OVER (PARTITION BY c.grp ORDER BY coalesce(above, 0) DESC, c.ancestor) AS k FROM c JOIN n ON c.grp = n.grp AND c.m = n.n LEFT JOIN a ON a.term = c.ancestor) WHERE k = 1""")
 def ontology_lca(t):
-    g = t.read("part").where("p_partkey < 200 and p_type in ('SMALL', 'LARGE') and p_brand < 'Brand#2'").select(F.col("p_size").alias("group"), F.concat(F.lit("P:"), F.col("p_partkey")).alias("term"))
+    kind = F.when(F.col("p_size") < 25, F.col("p_type")).otherwise("any")
+    g = t.read("part").select(F.concat("p_brand", F.lit("+"), kind).alias("group"), F.concat(F.lit("P:"), F.col("p_partkey")).alias("term"))
     return ontology.lowest_common_ancestors(g, t.anc)
 
 

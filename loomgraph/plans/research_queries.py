@@ -119,10 +119,10 @@ def reproducibility(t):
     return evaluation.reproducibility(p.where("p_size < 30").select(F.col("p_partkey").alias("node")), p.where("p_size > 10").select(F.col("p_partkey").alias("node")))
 
 
-@query("SELECT spans, count(*) AS n_themes FROM (SELECT o_custkey % 50 AS theme, least(count(DISTINCT shelf_id), 5) AS spans FROM orders JOIN resolved ON chunk_id = o_orderkey WHERE o_custkey % 50 < 40 AND o_orderkey % 97 < 3 GROUP BY 1) GROUP BY spans")
+@query("SELECT spans, count(*) AS n_themes FROM (SELECT o_custkey % 50 AS theme, count(DISTINCT shelf_id) // 20 AS spans FROM orders JOIN resolved ON chunk_id = o_orderkey GROUP BY 1) GROUP BY spans")
 def bridge_stats(t):
-    o = t.read("orders").where("o_custkey % 50 < 40 and o_orderkey % 97 < 3").select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_custkey") % 50).alias("theme"))
-    per = o.join(t.resolved, "chunk_id").groupBy("theme").agg(F.least(F.count_distinct("shelf_id"), F.lit(5)).alias("spans"))
+    o = t.read("orders").select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_custkey") % 50).alias("theme"))
+    per = o.join(t.resolved, "chunk_id").groupBy("theme").agg(F.expr("count(distinct shelf_id) div 20").alias("spans"))
     return per.groupBy("spans").agg(F.count("*").alias("n_themes"))
 
 
