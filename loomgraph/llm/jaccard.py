@@ -44,6 +44,8 @@ from .words import batches_of, shingle_hashes, words_of
 HOT = 8
 #: Texts per tile side in the exact second way and in verification.
 TILE = 512
+#: Waves of buckets in which keys meet, so that only a part of all keys is shuffled at a time.
+WAVES = 3
 #: Spare cells of a text in a band in which its partners are all larger than itself: they, not it, must be strong.
 NEVER = 1 << 30
 
@@ -370,7 +372,12 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     kind = source.schema["doc_id"].dataType
     signed = ws.write(source.mapInArrow(_sign(bands, nb, to_arrow_type(kind), piece), _SIGNED.format(id=kind.simpleString())), "signed", "kind")
     keys = signed.where("kind = 2").select("node", "bucket", "payload")
-    found = ws.write(keys.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_meet(hot), _FOUND_SQL), "found", "kind")
+    found = None
+    for wave in range(WAVES):
+        part = keys.where(F.col("bucket") % WAVES == wave).repartition(nb, "bucket").groupBy("bucket").applyInArrow(_meet(hot), _FOUND_SQL)
+        part = ws.write(part, f"found-{wave}", "kind")
+        found = part if found is None else found.union(part)
+    ws.drop("signed/kind=2")
     marks = signed.where("kind = 1").select("node", "class", "n", "band", "spare", "bits")
     members = signed.where("kind = 0").select("node", "doc_id", "n", "class", "text_hash")
     classes = ws.write(members.where("n > 0").groupBy("class").agg(F.count("*").alias("size"), F.min("doc_id").alias("min_id"), F.min_by(F.struct("text_hash", "doc_id"), "node").alias("one")).select("class", "size", "min_id", "one.*"), "classes")
@@ -398,7 +405,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     tiled = tiled.join(bits, "class").withColumn("task", F.when(F.col("tiles") == 1, F.pmod("shingle", F.lit(4 * nb))).otherwise(F.xxhash64("shingle", "ta", "tb")))
     more = tiled.groupBy("task").applyInArrow(_tile_pairs(bands), "a long, b long")
     candidates = ws.write(pairs.union(more).distinct(), "candidates")
-    ws.drop("found")
+    for table in (*[f"found-{w}" for w in range(WAVES)], "signed/kind=1", "heads", "weak"):
+        ws.drop(table)
 
     # Verify near a common neighbour, so that a text travels once per neighbourhood.
     ends = candidates.select("a", "b").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -411,6 +419,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     shipped = _with_text(source, visits.join(classes, "class"), "task").select(F.col("task").alias("place"), "text")
     links = placed.groupBy("task").cogroup(shipped.groupBy("place")).applyInArrow(_verify(threshold), "a long, b long")
     links = ws.write(links, "links")
+    ws.drop("candidates")
+    ws.drop("placed")
     return members, links, classes
 
 
@@ -435,10 +445,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 70) -> DataFrame:
     """The rows of ``docs`` that remain when of each group of linked documents the one with the smallest id stays.
 
-    Rows that share the smallest id of a group are repeats of it: all of them stay. Columns are those of ``docs``.
+    Rows are kept or dropped by id: rows of equal id (or of null id) stand or fall together. Columns are those of ``docs``.
     """
     groups = similar_groups(docs, doc_id, text, threshold).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(groups, docs[f"`{doc_id}`"].eqNullSafe(groups["__kept_id"]), "left_semi")
+    return docs.join(groups.hint("shuffle_hash"), docs[f"`{doc_id}`"].eqNullSafe(groups["__kept_id"]), "left_semi")
 
 
 def op4_jaccard_groups(spark, sf_dir: str) -> DataFrame:
