@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import consolidation, evaluation, grouping, ontology, quality, themes
+from ..functions.text import STOP_WORDS
+from ..operators import consolidation, evaluation, grouping, navigation, ontology, quality, themes
 from .standin import FLOOR, SQL, Tables
 
 QUERIES, ORACLE = {}, {}
@@ -179,3 +180,28 @@ def audit_report(t):
     anc = ontology.closure(s.where("parent is not null").select(F.col("shelf_id").alias("child"), "parent"))
     return quality.report([("attached", quality.coverage(t.links, t.resolved.where("mode <> 'orphan'")), F.col("share") >= 0.95, "critical"), ("one_root", quality.structure(s, anc), F.col("roots") <= 1, "warning")])
 
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query(f"WITH w AS (SELECT source AS shelf_id, doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM documents), tf AS (SELECT shelf_id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term), s AS (SELECT shelf_id, term, round(tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1), 9) AS score FROM tf JOIN df USING (term)) SELECT shelf_id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY shelf_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 100", False)
+def shelf_terms(t):
+    return navigation.shelf_terms(t.chunks.select(F.col("source_doc_id").alias("shelf_id"), "chunk_id", "text"))
+
+
+@query("SELECT shelf_id, source, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY shelf_id ORDER BY n DESC, source) AS rank FROM (SELECT shelf_id, o_custkey % 100 AS source, count(*) AS n FROM (SELECT DISTINCT chunk_id, shelf_id FROM resolved) JOIN orders ON o_orderkey = chunk_id GROUP BY ALL)) WHERE rank <= 40")
+def shelf_sources(t):
+    return navigation.shelf_sources(t.resolved, t.read("orders").select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_custkey") % 100).alias("source")))
+
+
+@query(", seed AS (SELECT DISTINCT shelf_id FROM resolved WHERE term_id IN ('P:3', 'P:7', 'P:11')), act AS (SELECT shelf_id FROM seed UNION SELECT parent FROM shelves WHERE shelf_id IN (SELECT shelf_id FROM seed) AND parent IS NOT NULL UNION SELECT shelf_id FROM shelves WHERE parent IN (SELECT shelf_id FROM seed)) SELECT o_custkey % 200 AS theme_id, count(DISTINCT shelf_id) AS n_shelves FROM orders JOIN resolved ON chunk_id = o_orderkey WHERE shelf_id IN (SELECT shelf_id FROM act) GROUP BY 1 ORDER BY n_shelves DESC, theme_id LIMIT 20")
+def activated_themes(t):
+    terms = t.spark.createDataFrame([("P:3",), ("P:7",), ("P:11",)], "term_id string")
+    members = t.read("orders").select((F.col("o_custkey") % 200).alias("theme_id"), F.col("o_orderkey").alias("chunk_id"))
+    return navigation.activated_themes(terms, t.resolved, t.shelves, members)
+
+
+@query("SELECT chunk_id, string_agg(DISTINCT term_id, ',' ORDER BY term_id) AS term_ids FROM links GROUP BY chunk_id")
+def mention_map(t):
+    return navigation.mention_map(t.links).select("chunk_id", F.array_join("term_ids", ",").alias("term_ids"))
