@@ -300,7 +300,7 @@ def bigram(count, numerator, lower, total, kept, mass) -> np.ndarray:
     return np.where(total <= 0, lower, np.where(count > 0, seen, alpha * lower))
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, block_tokens: int = 3_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, block_tokens: int = 2_000_000) -> DataFrame:
     """Score every text under a model trained on the rows whose ``crc32(id) mod modulus`` is not ``held``.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
