@@ -46,7 +46,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"

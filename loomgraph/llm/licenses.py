@@ -35,15 +35,15 @@ from .words import batches_of, words_of
 
 #: Short notices as authors write them, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD": ("Licensed under the BSD License.", "Released under the 3-clause BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "Licensed under the Apache License, Version 2.0; use this file only as that License allows.", "SPDX-License-Identifier: Apache-2.0"),
+    "BSD": ("Licensed under the BSD License.", "Released under the 3-clause BSD License.", "Redistribution and use in source and binary forms are permitted under these conditions", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under the Creative Commons Attribution License."),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."),
     "CC0": ("Dedicated to the public domain under CC0 1.0.", "Licensed under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "GPL": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL, version 2 or later.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "LGPL": ("Licensed under the GNU Lesser General Public License, version 3.", "Released under the LGPL, version 2.1 or later.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "SPDX-License-Identifier: MIT"),
     "MPL": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
 #: Licence-like lines of no known family.
