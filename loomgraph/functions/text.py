@@ -22,7 +22,7 @@ def tokens(text: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Lower-case word tokens of three letters or more, stop words left out."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z\-]{2,})"), F.lit(1)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z][-a-z]{2,})"), F.lit(1)), lambda t: ~F.array_contains(stop, t))
 
 
 def slug(text: Column, limit: int = 48) -> Column:
@@ -41,8 +41,10 @@ def snippet(text: Column, limit: int) -> Column:
 
 
 def shorten_uri(uri: Column) -> Column:
-    """``http(s)://purl.obolibrary.org/obo/ABC_123`` to ``ABC:123``; other strings stay."""
-    return F.regexp_replace(uri, r"^https?://purl\.obolibrary\.org/obo/([A-Z]+)_([0-9A-Za-z]+)$", "$1:$2")
+    """OBO purls (http or https) to ``PREFIX:local``, for upper-case prefixes; other strings stay."""
+    tail = F.regexp_replace(uri, "^https?:[/][/]purl[.]obolibrary[.]org[/]obo[/]", "")
+    short = (tail != uri) & tail.rlike("^[A-Z]{1,}_[a-zA-Z0-9]{1,}$")
+    return F.when(short, F.translate(tail, "_", ":")).otherwise(uri)
 
 
 def sentences(text: Column) -> Column:
@@ -59,7 +61,7 @@ def is_prose(sentence: Column) -> Column:
 
 def is_garbage(term: Column) -> Column:
     """Keyword candidates with a digit, of one or two characters, or in capitals of four or more."""
-    return F.exists(F.split(term, " "), lambda t: t.rlike(r"\d|^.{1,2}$|^[A-Z0-9]{4,}$"))
+    return F.exists(F.split(term, " "), lambda t: t.rlike("[0-9]") | (F.length(t) <= 2) | ((F.length(t) >= 4) & ~t.rlike("[^A-Z0-9]")))
 
 
 def is_scaffolding(label: Column, synonym_count: Column) -> Column:

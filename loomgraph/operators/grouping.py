@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clean_synonym(name: Column) -> Column:
     """No digits or punctuation, 2 to 30 characters, no Latin binomial."""
-    return name.rlike(r"^[A-Za-z][A-Za-z \-]{0,28}[A-Za-z]$") & ~name.rlike(r"^[A-Z][a-z]+ [a-z]+$")
+    return name.rlike(r"^[A-Za-z][A-Za-z \-]{0,28}[A-Za-z]$") & ~name.rlike("^[A-Z][a-z]{1,} [a-z]{1,}$")
 
 
 def display_name(label: Column, synonyms: Column) -> Column:
@@ -20,7 +20,7 @@ def display_name(label: Column, synonyms: Column) -> Column:
 
 def concepts(label: Column) -> Column:
     """Parts of a group label at ``and``, comma and slash, singular (final s cut)."""
-    parts = F.split(F.lower(F.trim(label)), r"\s+and\s+|\s*,\s*|\s*/\s*")
+    parts = F.split(F.lower(F.trim(label)), r"\s*(?:\band\b|[,/])\s*")
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), "s+$", "")), lambda p: F.length(p) > 0)
 
 

@@ -107,7 +107,7 @@ def backbone(kids: dict[str, list[str]], direct: dict[str, int], wide: dict[str,
     """
 
     def supported(term: str) -> list[str]:
-        return [c for c in sorted(kids.get(term, [])) if c not in blocked and wide.get(c, 0) >= min_support]
+        return sorted(c for c in kids.get(term, ()) if c not in blocked and wide.get(c, 0) >= min_support)
 
     def resolve(term: str) -> tuple[str, list[str]]:
         folded, seen = [], {term}

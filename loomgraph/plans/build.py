@@ -52,7 +52,6 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    # Phases -----------------------------------------------------------------
     def annotate(self, chunks: DataFrame, linker: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``linker`` maps chunks to links(chunk_id, term_id, surface, entity_type, confidence)."""
         self.put("chunks", chunks)

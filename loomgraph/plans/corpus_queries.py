@@ -295,7 +295,7 @@ def field_update(t):
 
 
 @query("""WITH s AS (SELECT o_orderkey AS chunk_id, string_split(o_orderpriority || ';' || o_orderstatus || ';', ';') AS a, string_split('http://purl.obolibrary.org/obo/ORD_' || o_custkey || ';', ';') AS b FROM orders), z AS (SELECT chunk_id, trim(a[i]) AS surface, trim(b[i]) AS uri, i FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM s))
-SELECT chunk_id, CAST(count(*) AS BIGINT) AS n_mentions, string_agg(CASE WHEN uri <> '' THEN regexp_replace(uri, '^https?://purl\\.obolibrary\\.org/obo/([A-Z]+)_([0-9A-Za-z]+)$', '\\1:\\2') END, ',' ORDER BY i) AS ids FROM z WHERE surface <> '' GROUP BY chunk_id""")
+SELECT chunk_id, CAST(count(*) AS BIGINT) AS n_mentions, string_agg(CASE WHEN uri <> '' THEN regexp_replace(uri, '^https?:[/][/]purl[.]obolibrary[.]org[/]obo[/]([A-Z]{1,})_([[:alnum:]]{1,})$', '\\1:\\2') END, ',' ORDER BY i) AS ids FROM z WHERE surface <> '' GROUP BY chunk_id""")
 def nel_zip_align(t):
     rows = t.read("orders").select(F.col("o_orderkey").alias("chunk_id"), F.concat("o_orderpriority", F.lit(";"), "o_orderstatus", F.lit(";")).alias("surfaces"), F.concat(F.lit("http://purl.obolibrary.org/obo/ORD_"), F.col("o_custkey"), F.lit(";")).alias("uris"))
     m = nel.mentions(rows)

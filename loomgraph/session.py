@@ -32,7 +32,7 @@ class Rounds:
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
             spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
