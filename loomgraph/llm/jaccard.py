@@ -11,10 +11,12 @@ shingles. Then ``|A ^ B| <= d`` with ``d = (100-t)(|A|+|B|) / (100+t)``.
   one with ``d + need`` or more shares ``need``. Pairs with fewer common keys are dropped.
   Usable: not empty, and its key not shared by more than ``hot`` texts.
 * *Hot keys* (passages that many texts share, large groups of copies) are not expanded.
-  A text left with fewer than ``d + need`` usable cells is weak (it is enough that the
-  larger text of a pair is not). Pairs of weak texts are found by an
+  A text left with fewer than ``d + need`` usable cells of a band is weak there (it is
+  enough that one text of a pair is not). Pairs of texts weak in their band are found by an
   exact second way: a common shingle among the first ``|A| - ceil(t|A|/100) + 1`` of each,
-  in groups cut into tiles, so that no group meets in one task.
+  in groups cut into tiles, so that no group meets in one task. A text whose partners in
+  the band are all larger is minor there; minor texts meet only others, never each other,
+  and only under shingles that a weak text which is not minor has among its first.
 * *Parity bits.* ``4d`` bits per band hold the parity of shingles per finer cell. Their
   Hamming distance never exceeds ``|A ^ B|``; pairs beyond their own bound are dropped.
 * *Verification* compares the shingle sets of what is left, near a common neighbour.
@@ -46,8 +48,6 @@ HOT = 8
 TILE = 512
 #: Waves of buckets in which keys meet, so that only a part of all keys is shuffled at a time.
 WAVES = 3
-#: Spare cells of a text in a band in which its partners are all larger than itself: they, not it, must be strong.
-NEVER = 1 << 30
 
 
 class Bands:
@@ -168,7 +168,7 @@ def _sign(bands: Bands, n_buckets: int, id_type: pa.DataType, piece: int):
                 o, b, key = _cells(sets, owner, chosen, band, bands)
                 found.append((o, b, key))
                 filled = np.bincount(o, minlength=len(n))
-                marks += [(int(i), int(band[i]), int(filled[i] - bands.d[band[i]]) if 2 * n[i] > bands.ends[band[i] - 1] else NEVER) for i in np.flatnonzero(chosen)]
+                marks += [(int(i), int(band[i]), int(filled[i] - bands.d[band[i]])) for i in np.flatnonzero(chosen)]
             if marks:
                 i, b, spare = (np.array(x) for x in zip(*marks, strict=True))
                 bits = [_parity(sets, at, x, int(bands.words[y])) for x, y in zip(i.tolist(), b.tolist(), strict=True)]
@@ -253,8 +253,8 @@ def _meet(hot: int):
 
 
 def _heads(bands: Bands, piece: int):
-    """Of weak texts: each of the first shingles with the text's class and size."""
-    schema = pa.schema([("shingle", pa.int64()), ("class", pa.int64()), ("n", pa.int64())])
+    """Of weak texts: each of the first shingles with the text's class."""
+    schema = pa.schema([("shingle", pa.int64()), ("class", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_of(batches, piece):
@@ -267,17 +267,18 @@ def _heads(bands: Bands, piece: int):
             owner = _owners(at)
             take = np.arange(len(sets)) - at[:-1][owner] < head[owner]
             o = owner[take]
-            yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(classes[o]), pa.array(n[o])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(classes[o])], schema=schema)
 
     return run
 
 
 def _tile_pairs(bands: Bands):
-    """Weak texts that share a first shingle and whose parity bits don't rule them out."""
+    """Weak texts, not both minor, that share a first shingle and whose parity bits don't rule them out."""
 
     def run(table: pa.Table) -> pa.Table:
         shingle, ta, tb, mine = (table.column(c).to_numpy() for c in ("shingle", "ta", "tb", "tile"))
         classes, n, band = (table.column(c).to_numpy() for c in ("class", "n", "band"))
+        major = table.column("major").to_numpy()
         bits = table.column("bits").combine_chunks()
         values, off = bits.values.to_numpy().view(np.uint64), bits.offsets.to_numpy()
         order = np.lexsort((classes, band, tb, ta, shingle))
@@ -294,9 +295,11 @@ def _tile_pairs(bands: Bands):
             one_tile = ta[rows[0]] == tb[rows[0]]
             left = np.arange(len(rows)) if one_tile else np.flatnonzero(mine[rows] == ta[rows[0]])
             right = left if one_tile else np.flatnonzero(mine[rows] == tb[rows[0]])
-            size, name = n[rows], classes[rows]
-            for x in left.tolist():
-                others = right[right > x] if one_tile else right
+            if len(left) > len(right):
+                left, right = right, left
+            size, name, large = n[rows], classes[rows], major[rows]
+            for x in left[large[left]].tolist() if one_tile else left.tolist():
+                others = right[(right > x) | ~large[right]] if one_tile else right
                 total = size[x] + size[others]
                 near = others[(bands.of(total) == y) & (np.minimum(size[x], size[others]) * 100 >= bands.t * np.maximum(size[x], size[others]))]
                 if len(near):
@@ -394,15 +397,23 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     # Weak texts among themselves.
     lost = found.where("kind = 2").groupBy(F.col("a").alias("node"), "band").agg(F.sum("shared").alias("lost"))
-    weak = marks.select("node", "class", "band", "spare").join(lost, ["node", "band"], "left").where(F.col("spare") - F.coalesce("lost", F.lit(0)) < need).select("class").distinct()
+    lower = F.element_at(F.array(*[F.lit(int(x)) for x in (0, *bands.ends)]), F.col("band") + 1)
+    weak = marks.join(lost, ["node", "band"], "left").where(F.col("spare") - F.coalesce("lost", F.lit(0)) < need).select("class", "n", "band", (2 * F.col("n") > lower).alias("major")).distinct()
     weak = ws.write(weak, "weak")
-    heads = _with_text(source, classes.join(weak, "class")).select("text").mapInArrow(_heads(bands, piece), "shingle long, class long, n long").distinct()
+    heads = _with_text(source, classes.join(weak.select("class").distinct(), "class")).select("text").mapInArrow(_heads(bands, piece), "shingle long, class long").distinct()
     heads = ws.write(heads, "heads")
-    groups = heads.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tiled = heads.join(groups, "shingle").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("shingle", "class", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tiles")
-    bits = marks.join(weak, "class", "left_semi").select("class", "n", "band", "bits").dropDuplicates(["class", "band"])
-    tiled = tiled.join(bits, "class").withColumn("task", F.when(F.col("tiles") == 1, F.pmod("shingle", F.lit(4 * nb))).otherwise(F.xxhash64("shingle", "ta", "tb")))
+    heads = heads.join(weak, "class")
+    majors, m = F.count_if("major"), F.count("*")
+    # Tiles of texts that are not minor, and of minor ones where they don't fit into the one tile of the others.
+    groups = heads.groupBy("shingle", "band").agg(majors.alias("majors"), m.alias("m")).where("m > 1 and majors > 0")
+    groups = groups.select("shingle", "band", F.ceil(F.col("majors") / TILE).cast("int").alias("tiles"), F.when(F.col("m") > TILE, F.ceil((F.col("m") - F.col("majors")) / TILE)).otherwise(0).cast("int").alias("more"))
+    first = F.col("major") | (F.col("more") == 0)
+    place = F.xxhash64("class")
+    tiled = heads.join(groups, ["shingle", "band"]).withColumn("tile", F.when(first, F.pmod(place, F.col("tiles"))).otherwise(-1 - F.pmod(place, F.greatest("more", F.lit(1)))).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.when(first, -F.col("more")).otherwise(0), F.col("tiles") - 1)))
+    tiled = tiled.select("shingle", "class", "n", "band", "major", "tile", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tiles") + F.col("more")).alias("tiles"))
+    bits = marks.join(weak.select("class", "band"), ["class", "band"], "left_semi").select("class", "band", "bits").dropDuplicates(["class", "band"])
+    tiled = tiled.join(bits, ["class", "band"]).withColumn("task", F.when(F.col("tiles") == 1, F.pmod("shingle", F.lit(4 * nb))).otherwise(F.xxhash64("shingle", "ta", "tb")))
     more = tiled.groupBy("task").applyInArrow(_tile_pairs(bands), "a long, b long")
     candidates = ws.write(pairs.union(more).distinct(), "candidates")
     for table in (*[f"found-{w}" for w in range(WAVES)], "signed/kind=1", "heads", "weak"):

@@ -177,6 +177,19 @@ def test_jaccard_groups(monkeypatch, docs, rows, hot, tile, threshold):
     assert len(links) > 100
 
 
+@pytest.mark.parametrize("tile", [512, 4])
+def test_jaccard_truncated_copies_of_a_text_with_hot_keys(monkeypatch, spark, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(7)
+    long = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 400))] for _ in range(40)]
+    found = [" ".join(t) for _ in range(12) for t in long] + [" ".join(t[: int(len(t) * share)]) for share in (0.9, 0.84, 0.8, 0.75, 0.72) for t in long]
+    rows = list(enumerate(found))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    want = collections.Counter(i for pair in pairs_of(rows)[1] for i in pair)
+    got = {r.doc_id: r.n_similar for r in jaccard.similar_groups(df, piece=20_000).collect()}
+    assert got == {i: want[i] for i, _ in rows}
+
+
 def test_jaccard_edge_cases(spark, docs, empty):
     assert jaccard.similar_groups(empty).count() == 0
     kept = jaccard.keep_one(docs)
