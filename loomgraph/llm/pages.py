@@ -11,10 +11,12 @@ are handled as browsers do in effect. Then
 3. hashes on at least ``min_pages`` pages and ``min_share`` of their host's pages are the
    host's template. They return to the pages that hold them and these subtrees are deleted.
 
-What remains outside menus, headers, footers, sidebars, notices, adverts, forms, comments
-and scripts (by element, role or class) and, where a page has an article, outside of it,
-is dropped too. The rest is the main text: character references decoded, white space in a
-block turned to one blank, blocks in order joined by one line feed.
+Menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts (by
+element, role or class), with any article in them, articles marked as comments or teasers,
+and articles within an article that has paragraphs of its own are dropped too. The rest is
+the main text, inside an article or not: character references decoded, white space in a
+block turned to one blank, blocks in order joined by one line feed. Where nothing is left,
+articles (else ``main``) in containers that only a class marks as dropped are taken.
 
 Nulls: null html is an empty page; a null URL is the host ``''``. A null id is kept;
 repeated rows count as pages of their own. Pages without text give ''. An empty table
@@ -48,6 +50,8 @@ _CLOSES = {t: ("p",) for t in _BLOCK - {"html", "body"}} | {"li": ("li", "p"), "
 _WALLS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _CHROME = re.compile(r"(?:^|[-_\s])(?:nav|navbar|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert\w*|banner|promo|sponsor\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination)(?:$|[-_\s])", re.I)
+#: Classes of articles that are comments on, or teasers of, another one.
+_ASIDE = re.compile(r"(?:[\w-]+[-_])?(?:comments?|repl(?:y|ies)|teasers?|related|recommended|promos?|sponsored|ads?|adverts?|advertisement)(?:[-_](?:body|item|content|card))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -110,9 +114,11 @@ def is_chrome(node: Node) -> bool:
     """Menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or id."""
     if node.tag in _DROP:
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body", "main"):
         return False
     a = _attributes(node)
+    if node.tag == "article":
+        return any(_ASIDE.fullmatch(c) for c in a.get("class", "").split())
     return a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_CHROME.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
@@ -141,19 +147,36 @@ def hash_subtrees(root: Node, out: set[int]) -> None:
 
 
 def _find(root: Node, tag: str) -> list[Node]:
+    """Outermost elements of this kind, except in elements that are always dropped."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.tag == tag:
             found.append(node)
-        else:
+        elif node.tag not in _DROP:
             todo += [c for c in reversed(node.children) if type(c) is Node]
     return found
 
 
+def _has_paragraphs(article: Node) -> bool:
+    """Whether an article holds a paragraph with text outside of articles within it."""
+    todo: list = [(c, False) for c in article.children]
+    while todo:
+        item, inside = todo.pop()
+        if type(item) is str:
+            if inside and item.strip():
+                return True
+        elif item.tag != "article" and item.tag not in _RAW and not is_chrome(item):
+            todo += [(c, inside or item.tag == "p") for c in item.children]
+    return False
+
+
 def main_text(root: Node, template: set[int]) -> str:
-    """Text of what is neither chrome nor template, of the articles where the page has any."""
-    tops = _find(root, "article") or _find(root, "main") or [root]
+    """Text of what is neither chrome nor template."""
+    return _text([root], template) or _text(_find(root, "article") or _find(root, "main"), template)
+
+
+def _text(tops: list[Node], template: set[int]) -> str:
     blocks, current = [], []
 
     def end_block() -> None:
@@ -164,13 +187,15 @@ def main_text(root: Node, template: set[int]) -> str:
                 blocks.append(text)
 
     for top in tops:
-        todo: list = [top]
+        todo: list = [(top, False)]
         while todo:
-            item = todo.pop()
+            item, alone = todo.pop()
             if item is None:
                 end_block()
             elif type(item) is str:
                 current.append(item)
+            elif alone and item.tag == "article":
+                end_block()
             elif item.tag in _RAW or is_chrome(item) or item.key in template:
                 end_block() if item.tag in _BLOCK else None
             elif item.tag == "br":
@@ -178,8 +203,9 @@ def main_text(root: Node, template: set[int]) -> str:
             else:
                 if item.tag in _BLOCK:
                     end_block()
-                    todo.append(None)
-                todo += reversed(item.children)
+                    todo.append((None, alone))
+                alone = alone or (item.tag == "article" and _has_paragraphs(item))
+                todo += [(c, alone) for c in reversed(item.children)]
         end_block()
     return "\n".join(blocks)
 

@@ -270,6 +270,19 @@ def test_html_templates_are_removed_by_recurrence(spark):
     assert sorted(r.text for r in pages.extract_pages(df).collect()) == [f"own text {i}" for i in range(6)]
 
 
+def test_html_teasers_and_comments_are_not_the_main_text():
+    def text(page):
+        return pages.main_text(pages.parse(page), set())
+
+    teaser = "<article><h2>Other</h2><p>teaser</p></article>"
+    assert text(f"<body><aside>{teaser}</aside><nav>{teaser}</nav><main><p>real</p></main></body>") == "real"
+    assert text(f"<body><div class='related'>{teaser}</div><div><p>real</p></div></body>") == "real"
+    assert text("<body><main><p>real</p></main><article class='comment'><p>nice</p></article></body>") == "real"
+    assert text("<body><p>lead</p><article><p>real</p><article><p>nice</p></article>end</article><p>after</p></body>") == "lead\nreal\nend\nafter"
+    assert text("<body><article><article><p>one</p></article><article><p>two</p></article></article></body>") == "one\ntwo"
+    assert text("<body><div class='with-sidebar'><article class='post'><p>real</p></article></div></body>") == "real"
+
+
 def test_globs_against_regular_expressions():
     rng = random.Random(2)
     globs = ["*", "", "a*", "*a", "a?b*c", "*ab*ba*", "a" * 70 + "*b", "??", "*a*b*a*b*"]
