@@ -6,10 +6,11 @@ are handled as browsers do in effect. Then
 
 1. each element that may be part of a template (a container, never a paragraph or a
    heading of an article) is hashed with all it holds: tags, attributes, text;
-2. Spark counts, per host, the pages that hold each hash, with counts added up per task
-   before they are shuffled; a host of any size is spread over all tasks by hash;
-3. hashes on at least ``min_pages`` pages and ``min_share`` of their host's pages are the
-   host's template. They return to the pages that hold them and these subtrees are deleted.
+2. Spark counts, per host, the different main texts (before templates are removed) of the
+   pages that hold each hash, each once per task before it is shuffled; a host of any size
+   is spread over all tasks by hash and text;
+3. hashes on pages of at least ``min_pages`` different main texts are the host's template,
+   however many pages the host has; copies of one page make no template. They return to the pages that hold them and these subtrees are deleted.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts (by
 element, role or class), with any article in them, articles marked as comments or teasers,
@@ -19,7 +20,7 @@ block turned to one blank, blocks in order joined by one line feed. Where nothin
 articles (else ``main``) in containers that only a class marks as dropped are taken.
 
 Nulls: null html is an empty page; a null URL is the host ``''``. A null id is kept;
-repeated rows count as pages of their own. Pages without text give ''. An empty table
+repeated rows are pages of their own, but count once for templates. Pages without text give ''. An empty table
 gives an empty result. Pages are read whole.
 """
 
@@ -211,39 +212,41 @@ def _text(tops: list[Node], template: set[int]) -> str:
 
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and host: hashes with the number of pages that hold them; hash 0 counts the pages."""
-    counts: dict[tuple[str, int], int] = {}
+    """Host, hash and main text (as a hash) of each page, each once per 200,000 of them."""
+    seen: set[tuple[str, int, int]] = set()
+
+    def signed(k: int) -> int:
+        return k - (1 << 64) if k >> 63 else k
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([k - (1 << 64) if k >> 63 else k for _, k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "key", "n"])
-        counts.clear()
+        out = pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in seen], pa.string()), pa.array([signed(k) for _, k, _ in seen], pa.int64()), pa.array([signed(b) for _, _, b in seen], pa.int64())], names=["host", "key", "body"])
+        seen.clear()
         return out
 
     for batch in batches:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = split_url(url.encode() if url else None)[0].decode(errors="replace")
-            keys: set[int] = {0}
-            hash_subtrees(parse(page or ""), keys)
-            for key in keys:
-                counts[host, key] = counts.get((host, key), 0) + 1
-        if len(counts) > 200_000:
-            yield flush()
-    if counts:
+            keys: set[int] = set()
+            root = parse(page or "")
+            hash_subtrees(root, keys)
+            body = xxhash.xxh3_64_intdigest(main_text(root, set()))
+            seen.update((host, key, body) for key in keys)
+            if len(seen) > 200_000:
+                yield flush()
+    if seen:
         yield flush()
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5, min_share: float = 0.1, max_broadcast: int = 200_000) -> DataFrame:
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5, max_broadcast: int = 200_000) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = pages.sparkSession
     ws = Workspace(spark, "pages")
     rows = texts(pages, page_id, url, page).toDF("page_id", "url", "html")
-    counts = rows.select("url", "html").mapInArrow(_hash_pages, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    counts = ws.write(counts.where(F.col("n") >= min_pages), "counts")
-    hosts = counts.where("key = 0").select("host", F.col("n").alias("pages"))
-    template = ws.write(counts.where("key <> 0").join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key"), "template")
+    held = rows.select("url", "html").mapInArrow(_hash_pages, "host string, key long, body long").distinct()
+    counts = held.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = ws.write(counts.select("host", "key"), "template")
     out = T.StructType([T.StructField("page_id", rows.schema[0].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     schema = to_arrow_schema(out)
 

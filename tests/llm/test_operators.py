@@ -270,6 +270,16 @@ def test_html_templates_are_removed_by_recurrence(spark):
     assert sorted(r.text for r in pages.extract_pages(df).collect()) == [f"own text {i}" for i in range(6)]
 
 
+def test_html_templates_of_large_hosts_and_republished_pages(spark):
+    page = lambda i: f"<body>{'<div>Section</div>' if i < 6 else ''}<div><p>own text {i}</p></div></body>"
+    copy = "<body><div><div>republished</div></div></body>"
+    data = [(i, "http://h.org/", page(i)) for i in range(100)] + [(100 + i, f"http://c.org/{i}", copy) for i in range(6)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    expect = {i: f"own text {i}" for i in range(100)} | {100 + i: "republished" for i in range(6)}
+    for limit in (1000, 0):
+        assert {r.page_id: r.text for r in pages.extract_pages(df, max_broadcast=limit).collect()} == expect
+
+
 def test_html_teasers_and_comments_are_not_the_main_text():
     def text(page):
         return pages.main_text(pages.parse(page), set())
