@@ -1,6 +1,6 @@
 """Operator 3, HTML extraction with removal of site templates.
 
-Pages are parsed to element trees by one regular expression over tags; void elements,
+Pages are parsed to element trees in one linear pass over their tags; void elements,
 unclosed paragraphs, list items and table cells, stray end tags and raw text elements
 are handled as browsers do in effect. Then
 
@@ -28,7 +28,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -39,7 +42,9 @@ from pyspark.sql import types as T
 from .common import Workspace, texts
 from .urls import split_url
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+#: Attributes up to the end of a tag; possessive, so that a tag that never ends is read once.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
@@ -63,50 +68,99 @@ class Node:
         self.tag, self.attributes, self.children, self.key = tag, attributes, [], 0
 
 
+class _Stack:
+    """Open elements, with their places by tag, so that no start or end tag has to search all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], defaultdict(list), []
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Close the elements from place ``to`` on."""
+        while len(self.nodes) > to:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        if self.at[tag]:
+            self.cut(self.at[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag ends: an unclosed paragraph, or items, cells and rows up to their list or table."""
+        closes = _CLOSES.get(tag)
+        if not closes:
+            return
+        walls = _WALLS.get(tag)
+        if walls:
+            wall = max((self.at[w][-1] for w in walls if self.at[w]), default=0)
+            ends = [self.at[c][i] for c in closes if (i := bisect_right(self.at[c], wall)) < len(self.at[c])]
+            if ends:
+                self.cut(min(ends))
+        elif tag == "option":
+            if self.at[tag] and self.at[tag][-1] > (self.blocks[-1] if self.blocks else 0):
+                self.cut(self.at[tag][0] if not self.blocks else self.at[tag][bisect_right(self.at[tag], self.blocks[-1])])
+        elif self.blocks and self.nodes[self.blocks[-1]].tag in closes:
+            self.cut(self.blocks[-1])
+
+
 def parse(page: str) -> Node:
-    """The page's element tree; text children are raw strings."""
+    """The page's element tree; text children are raw strings.
+
+    One pass: every character is read a bounded number of times, however tags nest or
+    fail to close. Where quotes of a tag don't close, tags end at the next ``>`` from
+    there on; a tag that never ends is text.
+    """
     root = Node("#root", "")
-    stack = [root]
-    at = 0
-    match = _TAG.search(page)
-    while match:
-        if match.start() > at:
-            stack[-1].children.append(page[at : match.start()])
-        at = match.end()
-        name = match[2]
-        if name:
-            name = name.lower()
-            if match[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        del stack[i:]
-                        break
-            else:
-                closes = _CLOSES.get(name)
-                if closes:
-                    walls = _WALLS.get(name, ())
-                    for i in range(len(stack) - 1, 0, -1):
-                        tag = stack[i].tag
-                        if tag in closes:
-                            del stack[i:]
-                            if not walls:
-                                break
-                        elif tag in walls or (not walls and tag in _BLOCK):
-                            break
-                node = Node(name, match[3])
-                stack[-1].children.append(node)
-                if name in _RAW:
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                    node.children.append(page[at : end.start() if end else len(page)])
-                    at = end.end() if end else len(page)
-                elif name not in _VOID and not match[3].endswith("/"):
-                    stack.append(node)
-        match = _TAG.search(page, at)
-    if at < len(page):
-        stack[-1].children.append(page[at:])
+    stack = _Stack(root)
+    at = begun = 0
+    quotes = True
+
+    def text(to: int) -> None:
+        if to > begun:
+            stack.nodes[-1].children.append(page[begun:to])
+
+    while match := _OPEN.search(page, at):
+        if match[1] or match[2]:
+            close = page.find("-->", match.end()) if match[1] else page.find(">", match.end())
+            text(match.start())
+            begun = at = len(page) if close < 0 else close + (3 if match[1] else 1)
+            continue
+        end = _REST.match(page, match.end()).end() if quotes else page.find(">", match.end())
+        if quotes and (end == len(page) or page[end] != ">"):
+            quotes, end = False, page.find(">", match.end())
+        if end < 0:  # no tag ends any more
+            break
+        text(match.start())
+        name, attributes = match[4].lower(), page[match.end() : end]
+        begun = at = end + 1
+        if match[3]:
+            stack.end(name)
+            continue
+        stack.make_room(name)
+        node = Node(name, attributes)
+        stack.nodes[-1].children.append(node)
+        if name in _RAW:
+            raw = _raw_end(name).search(page, at)
+            node.children.append(page[at : raw.start() if raw else len(page)])
+            begun = at = raw.end() if raw else len(page)
+        elif name not in _VOID and not attributes.endswith("/"):
+            stack.push(node)
+    text(len(page))
     return root
 
 
+@lru_cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*+>", re.I)
+
+
 def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(node.attributes)} if node.attributes else {}
 
@@ -237,8 +291,8 @@ def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5, max_broadcast: int = 200_000) -> DataFrame:
-    """Per row: page_id, url, text, n_chars."""
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", min_pages: int = 5, max_broadcast: int = 200_000, group_bytes: int = 32_000_000) -> DataFrame:
+    """Per row: page_id, url, text, n_chars. Beyond ``max_broadcast`` template hashes, pages meet those of their host in groups of about ``group_bytes``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = pages.sparkSession
@@ -274,15 +328,18 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
         return rows.mapInArrow(run, out)
 
-    # Salted: each host's pages are spread over groups; every group gets the host's hashes once.
-    salted = rows.withColumn("__host", _host(F.col("url"))).withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(64)).cast("int"))
-    spread = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    # Salted: each host's pages are spread over as many groups as its bytes need; every group gets the host's hashes once.
+    hosted = rows.withColumn("__host", _host(F.col("url")))
+    salts = hosted.groupBy("__host").agg(F.ceil(F.sum(F.octet_length(F.coalesce("html", F.lit("")))) / group_bytes).cast("int").alias("n"))
+    salts = ws.write(salts.select(F.col("__host").alias("salted_host"), F.greatest("n", F.lit(1)).alias("__n")), "salts")
+    salted = hosted.join(salts, F.col("__host") == F.col("salted_host")).withColumn("__salt", F.pmod(F.xxhash64("html", "page_id"), F.col("__n")).cast("int"))
+    spread = template.join(salts, F.col("host") == F.col("salted_host")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = {k & 0xFFFFFFFFFFFFFFFF for k in right.column("key").to_pylist()}
         return pa.Table.from_batches([rewrite(left, lambda host: keys)], schema=schema)
 
-    return salted.groupBy("__host", "__salt").cogroup(spread.groupBy("host", "salt")).applyInArrow(meet, out)
+    return salted.select("page_id", "url", "html", "__host", "__salt").groupBy("__host", "__salt").cogroup(spread.select("host", "key", "salt").groupBy("host", "salt")).applyInArrow(meet, out)
 
 
 def _host(url):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -280,6 +281,26 @@ def test_html_templates_of_large_hosts_and_republished_pages(spark):
         assert {r.page_id: r.text for r in pages.extract_pages(df, max_broadcast=limit).collect()} == expect
 
 
+def test_html_recurring_containers_of_an_article_go(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>shared words</p><section><b>About this site</b> and its people</section><p>own text {i}</p></article></body>"
+    df = spark.createDataFrame([(i, "http://h.org/", page(i)) for i in range(6)], "page_id long, url string, html string")
+    for limit in (1000, 0):
+        got = pages.extract_pages(df, max_broadcast=limit, group_bytes=200)
+        assert sorted(r.text for r in got.collect()) == [f"Title {i}\nshared words\nown text {i}" for i in range(6)]
+
+
+def test_html_parser_is_linear():
+    n = 400_000
+    odd = ["<a" * (n // 2), "<a '" * (n // 4), "<a \"x> '" * (n // 8) + "'", "<a \"' >" * (n // 7), "<div>" * (n // 10) + "</p>" * (n // 8), "<ul><li>" + "<i>" * (n // 6) + "<li></li>" * (n // 18), "<!--" * (n // 4), "<a href" + " " * n + ">x", "<script>" * (n // 8)]
+    for page in odd:
+        began = time.process_time()
+        root = pages.parse(page)
+        pages.hash_subtrees(root, set())
+        pages.main_text(root, set())
+        assert time.process_time() - began < 8, page[:20]
+    assert pages.main_text(pages.parse("<p>a < b and <i title='x>y'>c</i> <b title='open>d</b><p>e"), set()) == "a < b and c d\ne"
+
+
 def test_html_teasers_and_comments_are_not_the_main_text():
     def text(page):
         return pages.main_text(pages.parse(page), set())
