@@ -12,11 +12,13 @@ words is one window. Windows of one length form one automaton over blocks of two
 All texts of a batch advance together, one array step per read position. Words are
 numbered by the patterns' vocabulary (by 64-bit hash); other words match nothing.
 
-The windows are sent to all tasks only while their number stays within ``max_windows``
-(checked by a count beforehand); beyond it the same windows are joined by hash with the
-texts' windows instead, with equal results.
+Windows are counted first. Up to ``part_windows`` of them make one set of automata, which
+is sent to all tasks; more are parted by hash into sets of that size, and the texts are
+searched once per set, so that what is sent at a time stays bounded however large the
+benchmark is. The places hit and the items found are added up per row.
 
-Nulls: a null text has no words, a null item none either; a null item_id is ignored.
+Nulls: a null text has no words, a null item none either; windows of items without an id
+are searched like others, but only ids that are known are counted and listed.
 Repeated items count once. Repeated rows are judged each for itself. Empty tables: no
 texts, no rows; no items, nothing is hit. Texts of any length are read whole.
 """
@@ -27,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, mix, texts
+from .common import Workspace, texts
 from .words import batches_of, words_of
 
 #: Words that texts are cut into for the common advance; cuts overlap, so nothing is lost.
@@ -122,11 +124,11 @@ class Patterns:
             self.items.append([i for _, i in some])
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[set]]:
-        """Number of hit words, and the items that occur, of each text."""
+        """Whether each word is hit, and the items that occur in each text."""
         n = len(first) - 1
         items: list[set] = [set() for _ in range(n)]
         if not len(self.vocabulary):
-            return np.zeros(n, np.int64), items
+            return np.zeros(len(h), bool), items
 
         def ids(at: np.ndarray) -> np.ndarray:
             word = h[at]
@@ -141,8 +143,12 @@ class Patterns:
             text = np.searchsorted(first, starts, "right") - 1
             for t, w in set(zip(text.tolist(), window.tolist(), strict=True)):
                 items[t].update(owners[w])
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-        return covered[first[1:]] - covered[first[:-1]], items
+        return np.cumsum(cover[:-1]) > 0, items
+
+
+def _per_text(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    covered = np.concatenate([[0], np.cumsum(hit)])
+    return covered[first[1:]] - covered[first[:-1]]
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
@@ -160,7 +166,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int)
                     names += [name] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.list_(pa.int64()))], names=["item", "words"])
 
-    items = texts(benchmark, item_id, text).toDF("item", "text").where("item is not null").withColumn("item", F.col("item").cast("string"))
+    items = texts(benchmark, item_id, text).toDF("item", "text").withColumn("item", F.col("item").cast("string"))
     found = items.mapInArrow(run, "item string, words array<long>").distinct()
     return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -170,71 +176,64 @@ def _out(schema: T.StructType) -> T.StructType:
     return T.StructType([*plain, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, max_windows: int = 2_000_000, piece: int = 4_000_000) -> DataFrame:
+def _sent(spark: SparkSession, windows: DataFrame):
+    return spark.sparkContext.broadcast(Patterns([(r.words, r.items) for r in windows.toLocalIterator()]))
+
+
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, part_windows: int = 500_000, piece: int = 4_000_000) -> DataFrame:
     """All rows: columns c0, c1, ... in the order of ``docs``, then n_words, n_hit and items (sorted ids, as text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark, at = docs.sparkSession, docs.columns.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    windows = Workspace(spark, "decontaminate").write(benchmark_windows(benchmark, item_id, item_text, width), "windows")
-    if windows.count() > max_windows:
-        return _joined(plain, windows, at, width, piece)
-    patterns = spark.sparkContext.broadcast(Patterns([(r.words, r.items) for r in windows.toLocalIterator()]))
+    ws = Workspace(spark, "decontaminate")
+    windows = ws.write(benchmark_windows(benchmark, item_id, item_text, width), "windows")
+    parts = -(-windows.count() // part_windows)
+    if parts > 1:
+        return _in_parts(plain, windows, parts, at, piece, ws)
+    patterns = _sent(spark, windows)
     out = _out(plain.schema)
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches_of(batches, piece):
             h, _, _, first = words_of(table.column(at), alnum=True)
-            n_hit, items = patterns.value.hits(h, first)
-            columns = [c.combine_chunks() for c in table.columns] + [pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            hit, items = patterns.value.hits(h, first)
+            columns = [c.combine_chunks() for c in table.columns] + [pa.array(np.diff(first)), pa.array(_per_text(hit, first)), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
             yield from pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema).to_batches()
 
     return plain.mapInArrow(run, out)
 
 
-def _window_hash(parts: np.ndarray) -> np.ndarray:
-    total = np.zeros(parts.shape[0], np.uint64)
-    for k in range(parts.shape[1]):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
-    return total.view(np.int64)
-
-
-def _joined(plain: DataFrame, windows: DataFrame, at: int, width: int, piece: int) -> DataFrame:
-    """The way without a broadcast: texts' windows meet the benchmark's by hash; all lengths up to ``width``."""
-    ws = Workspace(plain.sparkSession, "decontaminate-joined")
-    names = plain.columns
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(0).to_pylist()
-            hashes = [int(_window_hash(np.array([r], np.int64).view(np.uint64))[0]) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([len(r) for r in rows], pa.int32()), batch.column(1)], names=["h", "m", "items"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches_of(batches, piece):
-            h, _, _, first = words_of(table.column(1), alnum=True)
-            row = table.column(0).to_numpy()
-            for m in range(1, width + 1):
-                count = np.maximum(np.diff(first) - m + 1, 0)
-                text = np.repeat(np.arange(len(count)), count)
-                pos = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-                begin = first[:-1][text] + pos
-                keys = _window_hash(np.stack([h[begin + k] for k in range(m)], 1)) if len(begin) else begin
-                yield pa.RecordBatch.from_arrays([pa.array(row[text], pa.int64()), pa.array(pos, pa.int64()), pa.array(np.full(len(pos), m), pa.int32()), pa.array(keys, pa.int64())], names=["row", "pos", "m", "h"])
+def _in_parts(plain: DataFrame, windows: DataFrame, parts: int, at: int, piece: int, ws: Workspace) -> DataFrame:
+    """The same search with one set of automata after the other; only rows with a hit are kept between sets."""
+    spark, names = plain.sparkSession, plain.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = words_of(batch.column(at + 1), alnum=True)[3]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(first))], names=[*batch.schema.names, "n_words"])
 
-    numbered = ws.write(plain.select(F.monotonically_increasing_id().alias("row"), *names), "rows")
-    wide = T.StructType([*numbered.schema.fields, T.StructField("n_words", T.LongType())])
-    met = numbered.select("row", names[at]).mapInArrow(read, "row long, pos long, m int, h long").join(windows.mapInArrow(hashed, "h long, m int, items array<string>"), ["h", "m"])
-    spots = met.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("m") - 1)).alias("p")).groupBy("row").agg(F.count_distinct("p").alias("n_hit"))
-    items = met.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    rows = numbered.mapInArrow(count, wide).join(spots, "row", "left").join(items, "row", "left")
-    return rows.select(*names, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    def search(patterns):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in batches_of(batches, piece):
+                h, _, _, first = words_of(table.column(1), alnum=True)
+                hit, items = patterns.value.hits(h, first)
+                some = np.flatnonzero(_per_text(hit, first))
+                places = [np.flatnonzero(hit[first[i] : first[i + 1]]) for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(some)), pa.array(places, pa.list_(pa.int64())), pa.array([sorted(items[i]) for i in some.tolist()], pa.list_(pa.string()))], names=["row", "places", "items"])
+
+        return run
+
+    numbered = ws.write(plain.select(F.monotonically_increasing_id().alias("row"), *names).mapInArrow(count, T.StructType([T.StructField("row", T.LongType(), False), *[T.StructField(f.name, f.dataType) for f in plain.schema], T.StructField("n_words", T.LongType())])), "rows")
+    found = None
+    for k in range(parts):
+        patterns = _sent(spark, windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k))
+        part = ws.write(numbered.select("row", names[at]).mapInArrow(search(patterns), "row long, places array<long>, items array<string>"), f"found-{k}")
+        patterns.destroy()
+        found = part if found is None else found.union(part)
+    found = found.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return numbered.join(found, "row", "left").select(*names, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -260,7 +259,7 @@ dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS k
        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms WHERE len(w) >= m)),
 hit AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.k = bw.k),
 spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN its ON d.doc_id = its.doc_id

@@ -212,27 +212,27 @@ def test_parity_bits_bound_the_difference():
 
 def test_decontamination(spark, docs, rows, empty):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
-    items = [(1, " ".join(split(rows[-5][1])[5:40])), (2, "w1 w2"), (3, None), (4, ""), (12, "One"), (2, "w1 w2"), (None, "w3"), (30, rows[30][1])]
+    items = [(1, " ".join(split(rows[-5][1])[5:40])), (2, "w1 w2"), (3, None), (4, ""), (12, "One"), (2, "w1 w2"), (None, "w3"), (30, rows[30][1]), (None, "One two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in items:
         w = word(t)
         m = min(10, len(w))
-        if i is not None and w:
+        if w:
             for k in range(len(w) - m + 1):
-                windows[tuple(w[k : k + m])].add(str(i))
+                windows[tuple(w[k : k + m])] |= {str(i)} - {"None"}
     expect = []
     for r in rows:
         w, hit, found = word(r[1]), set(), set()
         for m in {len(x) for x in windows}:
             for k in range(len(w) - m + 1):
                 got = windows.get(tuple(w[k : k + m]))
-                if got:
+                if got is not None:
                     hit |= set(range(k, k + m))
                     found |= got
         expect.append((str(r[0]), len(w), len(hit), sorted(found)))
-    for limit in (10_000, 0):  # broadcast, and joined by hash
-        got = decontaminate.contaminated_words(docs, bench, max_windows=limit).collect()
+    for limit in (10_000, 40):  # one set of automata, and several
+        got = decontaminate.contaminated_words(docs, bench, part_windows=limit).collect()
         assert sorted((str(g[0]), g.n_words, g.n_hit, list(g["items"])) for g in got) == sorted(expect)
     assert sum(e[2] > 0 for e in expect) > 3
     assert decontaminate.contaminated_words(empty, bench).count() == 0
