@@ -10,13 +10,23 @@ Landmarks (a few labelled texts per language) span the Nystroem feature space
 scored by one product of its presence matrix with ``n-grams x languages`` weights.
 
 Only the classifier is fitted on a sample: at most ``landmarks`` and ``examples`` texts
-per language, both bounded, drawn by hash of the id from the training rows
-(``crc32(id) mod modulus != held``, language not null). Sampled texts are read whole, and
-their n-grams alone reach the driver. Every text is scored whole.
-
-Nulls: a null text, or one without any letter, is ``und`` with score 0. Rows with a null
-language are not learned from. Repeated rows are predicted each. An empty table, or one
-without labelled rows, gives ``und`` for all; ties go to the first language by code point.
+per language, drawn by hash of the id from the training rows (``crc32(id) mod modulus !=
+held``, language and text not null). Every language is learned, however rare or many they
+are: beyond 16 languages the shares of each shrink (``LANDMARKS`` and ``EXAMPLES`` texts in
+all, one and four of a language at least). Sampled texts are read whole, and their n-grams
+alone reach the driver. Kernel products run over slices of n-grams, so that no dense
+matrix of texts by n-grams is made. Every text is scored whole.
+
+A text's familiarity is the share of its distinct n-grams that the landmarks know. The
+examples that are no landmarks give its usual range: a text below half of what 99 in 100
+of them reach is in none of the learned languages (``familiar`` is false); the rule does
+not depend on the number of languages, as scores of one-versus-rest regressions do.
+
+Nulls: a null text, or one without any letter, is ``und`` with score 0, and not familiar.
+Rows with a null language or text are not learned from. Repeated rows are predicted each.
+An empty table, or one without rows to learn from, gives ``und`` for all; ties go to the
+first language by code point. Texts of any length are read whole; a single very long one
+makes a batch of its own.
 """
 
 from __future__ import annotations
@@ -39,6 +49,10 @@ for _b in range(256):
     _CLASS[_b] = _low - 96 if 97 <= _low <= 122 else _b - 128 + 27 if _b >= 128 else 0
 _BASE = 155
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+#: Texts that the classifier is fitted on at most, over all languages.
+LANDMARKS, EXAMPLES = 640, 2560
+#: N-grams per slice of a kernel product, and cells of a presence matrix.
+SLICE, CELLS = 8192, 40_000_000
 #: Number of n-gram codes: orders 1, 2 and 3 one after the other.
 CODES = _BASE + _BASE**2 + _BASE**3
 
@@ -67,14 +81,19 @@ def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 class Model:
-    """Weights of n-grams by language."""
+    """Weights of n-grams by language, and the least familiarity of a text in a learned language."""
 
-    def __init__(self, languages: list[str], codes: np.ndarray, weights: np.ndarray):
-        self.languages, self.codes, self.weights = languages, codes, weights
+    def __init__(self, languages: list[str], codes: np.ndarray, weights: np.ndarray, shift: np.ndarray | float = 0.0, usual: float = 0.0):
+        self.languages, self.codes, self.weights, self.shift, self.usual = languages, codes, weights, shift, usual
         self._slot = None
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Decision values: text by language."""
+    @property
+    def rows(self) -> int:
+        """Texts whose presence matrix is of bounded size."""
+        return max(1, min(2000, CELLS // max(1, len(self.codes))))
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values (text by language), and each text's familiarity."""
         if self._slot is None:
             self._slot = np.full(CODES, -1, np.int32)
             self._slot[self.codes] = np.arange(len(self.codes))
@@ -82,56 +101,80 @@ class Model:
         present = np.zeros((n, len(self.codes)), bool)
         flat = present.reshape(-1)
         base = np.repeat(np.arange(n) * len(self.codes), np.diff(offsets))
+        text = np.repeat(np.arange(n), np.diff(offsets))
+        strange = []
         for codes, inside in ngram_codes(data, offsets):
             slot = self._slot[codes]
             use = inside & (slot >= 0)
             flat[base[: len(codes)][use] + slot[use]] = True
-        out = np.zeros((n, len(self.languages)))
+            use = inside & (slot < 0)
+            strange.append(text[: len(codes)][use] * CODES + codes[use])
+        others = np.bincount(distinct(np.concatenate(strange)) // CODES, minlength=n) if strange else np.zeros(n)
+        out, known = np.zeros((n, len(self.languages))), np.zeros(n)
         for i in range(0, n, 512):
             part = present[i : i + 512]
-            out[i : i + 512] = part.astype(np.float32) @ self.weights / np.sqrt(np.maximum(part.sum(1), 1))[:, None]
-        return out
+            known[i : i + 512] = part.sum(1)
+            out[i : i + 512] = part.astype(np.float32) @ self.weights / np.sqrt(np.maximum(known[i : i + 512], 1))[:, None]
+        return out + self.shift, known / np.maximum(1, known + others)
 
     def __getstate__(self):
-        return {"languages": self.languages, "codes": self.codes, "weights": self.weights, "_slot": None}
+        return {**self.__dict__, "_slot": None}
 
 
 def fit_kernel(languages: list[str], landmarks: list[np.ndarray], examples: list[np.ndarray], truth: np.ndarray, ridge: float = 0.1) -> Model:
-    """Kernel ridge regression in the landmarks' Nystroem space; texts are given as sorted n-gram codes."""
-    codes = distinct(np.concatenate(landmarks)) if landmarks else np.zeros(0, np.int64)
-
-    def presence(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(codes)), np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(codes, s)
-            at = at[(at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == s)]
-            out[i, at] = 1
-            out[i] /= np.sqrt(max(1, len(at)))
-        return out
-
-    marks, rows = presence(landmarks), presence(examples)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    """Kernel ridge regression in the landmarks' Nystroem space; texts are given as sorted n-gram codes. There is a landmark at least."""
+    codes = distinct(np.concatenate(landmarks))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts and columns of known n-grams, by column, and each text's number of them."""
+        text, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(codes, column), max(0, len(codes) - 1))
+        good = codes[at] == column if len(codes) else np.zeros(len(column), bool)
+        text, at = text[good], at[good]
+        order = np.argsort(at, kind="stable")
+        return text[order], at[order], np.bincount(text, minlength=len(sets))
+
+    def slices(parts):
+        """Dense slices of presence, scaled to length one per text."""
+        for low in range(0, len(codes), SLICE):
+            out = []
+            for text, column, count in parts:
+                i, j = np.searchsorted(column, [low, low + SLICE])
+                dense = np.zeros((len(count), min(SLICE, len(codes) - low)), np.float32)
+                dense[text[i:j], column[i:j] - low] = 1 / np.sqrt(count[text[i:j]])
+                out.append(dense)
+            yield out
+
+    marks, rows = cells(landmarks), cells(examples)
+    among, across = np.zeros((len(landmarks), len(landmarks))), np.zeros((len(examples), len(landmarks)))
+    for m, r in slices((marks, rows)):
+        among += m @ m.T
+        across += r @ m.T
+    values, vectors = np.linalg.eigh(among)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.concatenate([(rows @ marks.T) @ root, np.ones((len(rows), 1))], 1)
+    phi = np.concatenate([across @ root, np.ones((len(examples), 1))], 1)
     goal = np.where(truth[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1 / np.maximum(1, np.bincount(truth, minlength=len(languages)))[truth]
     gram = (phi * weight[:, None]).T @ phi
-    gram[np.arange(len(gram) - 1), np.arange(len(gram) - 1)] += ridge * weight.sum() / len(rows)
+    gram[np.arange(len(gram) - 1), np.arange(len(gram) - 1)] += ridge * weight.sum() / len(examples)
     beta = np.linalg.solve(gram + 1e-9 * np.eye(len(gram)), (phi * weight[:, None]).T @ goal)
-    return Model(languages, codes, (marks.T @ (root @ beta[:-1])).astype(np.float32)), beta[-1]
+    dual = root @ beta[:-1]
+    weights = [m.T @ dual for (m,) in slices((marks,))]
+    return Model(languages, codes, np.concatenate(weights).astype(np.float32) if weights else np.zeros((0, len(languages)), np.float32), beta[-1])
 
 
-def train(rows: DataFrame, landmarks: int = 40, examples: int = 160, max_languages: int = 200) -> tuple[Model, np.ndarray] | None:
-    """Fit on ``rows(id, text, lang)``: per language (the ``max_languages`` most frequent ones) a bounded sample by hash of the id."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    sizes = {r["lang"]: r["n"] for r in counts.toLocalIterator()}
+def train(rows: DataFrame, landmarks: int = 40, examples: int = 160) -> Model | None:
+    """Fit on ``rows(id, text, lang)``: of every language a bounded sample by hash of the id. None where there is nothing to learn from."""
+    rows = rows.where("text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     if not sizes:
         return None
     languages = sorted(sizes, key=lambda x: x.encode())
+    landmarks, examples = max(1, min(landmarks, LANDMARKS // len(sizes))), max(4, min(examples, EXAMPLES // len(sizes)))
     luck = F.pmod(F.xxhash64(F.lit(6), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 3 * (landmarks + examples) / n)))]), F.col("lang"))
-    drawn = rows.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).withColumn("luck", luck).where(F.col("luck") < share)
+    drawn = rows.withColumn("luck", luck).where(F.col("luck") < share)
     drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("luck", "id"))).where(F.col("nth") <= landmarks + examples)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,38 +182,44 @@ def train(rows: DataFrame, landmarks: int = 40, examples: int = 160, max_languag
             sets = []
             for i in range(batch.num_rows):
                 data, offsets = buffer_of(batch.column(0).slice(i, 1))
-                sets.append(distinct(np.concatenate([c[use] for c, use in ngram_codes(data, offsets)])).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "nth", "codes"])
+                sets.append(distinct(np.concatenate([c[use] for c, use in ngram_codes(data, offsets)])).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.binary())], names=["lang", "nth", "codes"])
 
-    found = drawn.select("text", "lang", "nth").mapInArrow(grams, "lang string, nth int, codes array<int>").orderBy("lang", "nth").collect()
-    sets = [np.array(r.codes, np.int64) for r in found]
-    truth = np.array([languages.index(r.lang) for r in found])
-    return fit_kernel(languages, [s for s, r in zip(sets, found, strict=True) if r.nth <= landmarks], sets, truth)
+    found = drawn.select("text", "lang", "nth").mapInArrow(grams, "lang string, nth int, codes binary").orderBy("lang", "nth").collect()
+    sets = [np.frombuffer(r.codes, "<i4").astype(np.int64) for r in found]
+    place = {k: i for i, k in enumerate(languages)}
+    truth = np.array([place[r.lang] for r in found])
+    model = fit_kernel(languages, [s for s, r in zip(sets, found, strict=True) if r.nth <= landmarks], sets, truth)
+    rest = [np.isin(s, model.codes).mean() for s, r in zip(sets, found, strict=True) if r.nth > landmarks and len(s)]
+    model.usual = float(np.quantile(rest, 0.01)) if rest else 0.0
+    return model
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 5, held: int = 0, piece: int = 4_000_000, **options) -> DataFrame:
-    """All rows: columns c0, c1, ... in the order of ``docs``, then held_out, lang_pred and score (0 to 1)."""
+    """All rows: columns c0, c1, ... in the order of ``docs``, then held_out, lang_pred, score (0 to 1) and familiar."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark, at = docs.sparkSession, docs.columns.index(text)
     labelled = texts(docs, doc_id, text, lang).toDF("id", "text", "lang").where("lang is not null").where(remainder("id", modulus) != held)
     model = spark.sparkContext.broadcast(train(labelled, **options))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in plain.schema], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in plain.schema], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiar", T.BooleanType())])
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches_of(batches, piece, 2000):
+        fitted = model.value
+        for table in batches_of(batches, piece, fitted.rows if fitted else 2000):
             data, offsets = buffer_of(table.column(at))
-            names, score = np.full(table.num_rows, "und", object), np.zeros(table.num_rows)
-            if model.value is not None:
-                fitted, shift = model.value
-                value = fitted.scores(data, offsets) + shift
+            n = table.num_rows
+            names, score, familiar = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
+            if fitted is not None:
+                value, known = fitted.scores(data, offsets)
                 best = value.argmax(1)
                 seen = has_letter(table.column(at), data, offsets)
                 names[seen] = np.array(fitted.languages, object)[best[seen]]
                 score[seen] = np.clip((value.max(1)[seen] + 1) / 2, 0, 1)
-            columns = [*table.columns, pa.array(names.tolist(), pa.string()), pa.array(score)]
+                familiar = seen & (known >= fitted.usual / 2)
+            columns = [*table.columns, pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(familiar)]
             columns = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(f.type) for c, f in zip(columns, schema, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -178,9 +227,9 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return plain.mapInArrow(run, out).withColumn("held_out", held_out)
 
 
-def with_language(docs: DataFrame, min_score: float = 0.25, **options) -> DataFrame:
-    """The rows of ``docs`` in a language: those with letters whose score reaches ``min_score``. Columns stay as they are."""
-    rows = identify(docs, **options).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+def with_language(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in a learned language: those with letters that are familiar. Columns stay as they are."""
+    rows = identify(docs, **options).where("familiar")
     return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
 
 

@@ -362,8 +362,46 @@ def test_string_kernel_equals_its_definition():
         d, o = words.buffer_of(pa.array([texts[i]]))
         sets.append(np.unique(np.concatenate([c[use] for c, use in language.ngram_codes(d, o)] or [np.zeros(0, np.int64)])))
     model = language.Model(["a"], np.unique(np.concatenate(sets)), np.ones((len(np.unique(np.concatenate(sets))), 1), np.float32))
-    got = model.scores(data, offsets)[:, 0]
-    assert np.allclose(got, [math.sqrt(len(s)) for s in sets], rtol=1e-5)
+    got, known = model.scores(data, offsets)
+    assert np.allclose(got[:, 0], [math.sqrt(len(s)) for s in sets], rtol=1e-5)
+    assert known.tolist() == [1, 1, 1, 1, 0]
+    model = language.Model(["a"], sets[0], np.ones((len(sets[0]), 1), np.float32))
+    assert np.allclose(model.scores(data, offsets)[1], [np.isin(s, sets[0]).mean() if len(s) else 0 for s in sets])
+
+
+def test_kernel_regression_equals_the_dense_solution(monkeypatch):
+    monkeypatch.setattr(language, "SLICE", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(k * 20, k * 20 + 40, 15), rng.integers(0, 90, 5)])) for k in (0, 1, 2) for _ in range(9)]
+    truth, marks = np.repeat([0, 1, 2], 9), [s for i, s in enumerate(sets) if i % 9 < 4]
+    model = language.fit_kernel(["a", "b", "c"], marks, sets, truth)
+    codes = np.unique(np.concatenate(marks))
+    dense = lambda some: np.array([np.isin(codes, s) / np.sqrt(max(1, np.isin(codes, s).sum())) for s in some])
+    m, r = dense(marks), dense(sets)
+    values, vectors = np.linalg.eigh(m @ m.T)
+    good = values > 1e-6 * values.max()
+    phi = np.concatenate([r @ m.T @ vectors[:, good] / np.sqrt(values[good]), np.ones((len(sets), 1))], 1)
+    penalty = np.diag([0.1 / 9] * int(good.sum()) + [0]) * 9 * 3 / len(sets)
+    beta = np.linalg.solve(phi.T @ phi / 9 + penalty, phi.T @ np.where(truth[:, None] == np.arange(3), 1.0, -1.0) / 9)
+    assert np.allclose(r @ model.weights + model.shift, phi @ beta, atol=1e-3)
+
+
+def test_language_stage_rejects_junk_and_keeps_short_texts(spark):
+    rng = random.Random(4)
+    kinds = {f"l{k:02}": ["".join(rng.choices("aeioubcdfghklmnprstvwz", k=rng.randrange(2, 4))) for _ in range(14)] for k in range(24)}
+    make = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=rng.randrange(1, 4))) for _ in range(n))
+    data = [(i, make(k, rng.randrange(20, 60)), k) for i, k in enumerate(sorted(kinds) * 30)]
+    data += [(5000 + i, make(k, 3), k) for i, k in enumerate(kinds)] + [(9000, "q0x jq7 xqj " * 9, None), (9001, "Ωψ" * 30, None), (9002, None, "l01"), (9003, "...", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("c0", F.lit("x")).withColumn("score", F.lit("y"))
+    rows = language.identify(df).collect()
+    right = [r.lang_pred == r.c2 for r in rows if r.c0 < 5000 and r.held_out]
+    assert np.mean(right) > 0.95 and len({r.lang_pred for r in rows}) > 20
+    kept = language.with_language(df)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids == {i for i, _, _ in data if i < 9000}
+    blank = df.withColumn("text", F.lit(None).cast("string"))
+    assert language.identify(blank).where("lang_pred = 'und' and not familiar").count() == len(data) and language.with_language(blank).count() == 0
 
 
 def spot_sets(text):
