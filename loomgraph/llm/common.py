@@ -33,9 +33,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one is set in local mode; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not (spark.conf.get("spark.master", "local").split("[")[0] == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

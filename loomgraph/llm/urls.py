@@ -34,6 +34,15 @@ from .common import LOWER, as_bytes, texts
 #: (rule, verdict): the rule's host and, from the first slash, its path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
+#: Globs over the canonical form for what no rule fits: spam and advert hosts, trackers, sign-in, cart and search pages, files that are no pages.
+GLOBS = (
+    *((f"*.{h}*\0*", "block") for h in ("cheap-", "free-", "buy-", "ads.", "ad.", "adserver.", "track.", "tracker.", "tracking.", "pixel.")),
+    *((f"*{h}*\0*", "block") for h in ("casino", "viagra", "-pills", "porn", "lottery")),
+    *((f"*\0*/{d}/*", "block") for d in ("wp-admin", "cgi-bin", "cart", "checkout", "login", "signup", "search", "tag", "feed")),
+    *((f"*\0*/{f}", "block") for f in ("login", "signup", "register", "search", "wp-login.php", "xmlrpc.php", "robots.txt", "sitemap*.xml")),
+    *((f"*\0*.{e}", "block") for e in ("jpg", "jpeg", "png", "gif", "svg", "css", "js", "zip", "gz", "exe", "mp3", "mp4", "avi")),
+)
+
 
 class GlobAutomaton:
     """Shift-And over several globs; ``accepts`` tells for each text which globs fit."""
@@ -110,42 +119,64 @@ def split_url(url: bytes | None) -> tuple[bytes, bytes]:
     return rest[:end].translate(LOWER), path[:cut]
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, globs: tuple[tuple[str, str], ...] = (), default: str = "allow") -> DataFrame:
+class Judge:
+    """Rules, then globs, then the default, as one automaton."""
+
+    def __init__(self, rules: tuple[tuple[str, str], ...], globs: tuple[tuple[str, str], ...], default: str):
+        ranked = sorted(rules, key=lambda r: (-len(r[0]), r[1] != "block"))
+        self.automaton = GlobAutomaton([host_rule(r) for r, _ in ranked] + [g.encode() for g, _ in globs])
+        self.names = np.array([r for r, _ in ranked] + [None] * (len(globs) + 1), object)
+        self.verdicts = np.array([v for _, v in ranked] + [v for _, v in globs] + [default], object)
+
+    def __call__(self, column: pa.Array) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+        """Host and path of each URL, and the number of what judges it."""
+        parts = [split_url(u) for u in as_bytes(column)]
+        canonical = [b"." + h.replace(b"\0", b"\1") + b"\0" + p.replace(b"\0", b"\1") for h, p in parts]
+        fits = np.concatenate([self.automaton.accepts(canonical), np.ones((len(parts), 1), bool)], 1)
+        return parts, fits.argmax(1)
+
+
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, globs: tuple[tuple[str, str], ...] = GLOBS, default: str = "allow") -> DataFrame:
     """Per row: page_id, host, path, rule (null if none accepts), verdict."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ranked = sorted(rules, key=lambda r: (-len(r[0]), r[1] != "block"))
-    automaton = GlobAutomaton([host_rule(r) for r, _ in ranked] + [g.encode() for g, _ in globs])
+    judge = Judge(rules, globs, default)
     rows = texts(pages, page_id, url).toDF("page_id", "url")
     out = T.StructType([T.StructField("page_id", rows.schema[0].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")]])
     schema = to_arrow_schema(out)
-    names = np.array([r for r, _ in ranked] + [None] * (len(globs) + 1), object)
-    verdicts = np.array([v for _, v in ranked] + [v for _, v in globs] + [default], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [split_url(u) for u in as_bytes(batch.column(1))]
-            canonical = [b"." + h.replace(b"\0", b"\1") + b"\0" + p.replace(b"\0", b"\1") for h, p in parts]
-            fits = automaton.accepts(canonical)
-            fits = np.concatenate([fits, np.ones((len(parts), 1), bool)], 1)
-            first = fits.argmax(1)
-            columns = [batch.column(0), pa.array([h for h, _ in parts], pa.binary()).cast(pa.string()), pa.array([p for _, p in parts], pa.binary()).cast(pa.string()), pa.array(names[first].tolist(), pa.string()), pa.array(verdicts[first].tolist(), pa.string())]
+            parts, which = judge(batch.column(1))
+            columns = [batch.column(0), pa.array([h for h, _ in parts], pa.binary()).cast(pa.string()), pa.array([p for _, p in parts], pa.binary()).cast(pa.string()), pa.array(judge.names[which].tolist(), pa.string()), pa.array(judge.verdicts[which].tolist(), pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, out)
 
 
-def allowed_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", **options) -> DataFrame:
-    """The rows of ``pages`` with an allowed URL, judged row by row."""
-    blocked = judge_urls(pages, page_id, url, **options).where("verdict = 'block'").select(F.col("page_id").alias("__id")).distinct()
-    return pages.join(blocked, pages[f"`{page_id}`"].eqNullSafe(blocked["__id"]), "left_anti")
+def allowed_pages(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, globs: tuple[tuple[str, str], ...] = GLOBS, default: str = "allow") -> DataFrame:
+    """The rows of ``pages`` with an allowed URL, each judged for itself in one scan; columns stay as they are."""
+    judge, at = Judge(rules, globs, default), pages.columns.index(url)
+    plain = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array((judge.verdicts[judge(batch.column(at))[1]] == "allow").tolist(), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*pages.columns)
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-OP5_SQL = """
+def _like(glob: str) -> str:
+    host, _, path = glob.replace("*", "%").replace("?", "_").partition("\0")
+    return f"('.' || host) LIKE '{host}' AND path LIKE '{path}'"
+
+
+_GLOBBED = "CASE " + " ".join(f"WHEN {_like(g)} THEN '{v}'" for g, v in GLOBS) + " ELSE 'allow' END"
+OP5_SQL = f"""
 WITH p AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -155,5 +186,5 @@ r(rule, rhost, rpath, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org
   ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM p JOIN r
       ON ('.' || host) LIKE ('%.' || rhost) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
+SELECT p.page_id, host, path, m.rule, coalesce(m.v, {_GLOBBED}) AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id
 """

@@ -332,6 +332,14 @@ def test_url_filter(spark):
     assert got == dict(enumerate(cases.values()))
     odd = urls.judge_urls(df, globs=(("*.net\0*", "block"),)).where("verdict = 'block' and rule is null")
     assert odd.count() == 1
+    more = {"http://x.net/a.JPG": "allow", "http://x.net/a.jpg": "block", "http://x.net/a/login": "block", "http://www.cheap-pills.net/x": "block", "http://ads.x.net/": "block", "http://roads.x.net/": "allow", "http://x.org/login": "allow", "http://x.net/sitemap2.xml": "block", "http://x.net/?/login": "allow"}
+    rows = [(i % 3 or None, u, "k") for i, u in enumerate([*more, *more])]
+    wide = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    kept = urls.allowed_pages(wide)
+    assert kept.columns == wide.columns
+    assert sorted(r.url for r in kept.collect()) == sorted(2 * [u for u, v in more.items() if v == "allow"])
+    assert urls.allowed_pages(wide.limit(0)).count() == 0
+    assert {r.verdict for r in urls.judge_urls(df, globs=(("*", "block"),)).where("rule is null").collect()} == {"block"}
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
