@@ -466,13 +466,42 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_paragraphs_that_are_no_templates(spark):
+    wrapped = "Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer."
+    marks = {
+        "Distributed under the terms of the MIT License, see LICENSE.txt": "MIT",
+        "The code in this folder is released under the MIT License (c) 2020 Somebody": "MIT",
+        'The Software is provided "as is", without warranty of any kind, express or implied': "MIT",
+        "Neither the name of the author nor the names of its contributors may be used to endorse products derived from this software": "BSD",
+        wrapped: "BSD",
+        "You should have received a copy of the GNU General Public License\nalong with this package. If not, see https://www.gnu.org/licenses/": "GPL",
+        "This module is free software; you can redistribute it under the terms of the GNU General Public License": "GPL",
+        "Dual licensed under the MIT License or the Apache License": "Apache-2.0,MIT",
+        "You may use this under the Apache License, Version 2.0": "Apache-2.0",
+        "All content is under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA",
+        "This file is subject to the terms of the Mozilla Public License, v. 2.0": "MPL",
+    }
+    plain = ["A fishing license is sold at the office.", "Students at MIT read the general terms of the public library.", "The version of the file that you obtain may not include all parts.", "He asked for permission to use the car of the company.", "Conditions in the mountains are hard, and any person must be careful."]
+    data = [(i, f"Some words before.\n{t}\nAnd after.") for i, t in enumerate(marks)] + [(100 + i, t) for i, t in enumerate(plain)] + [(200, "All rights reserved."), (201, "Licensed under the Foo Bar License, version 7.")] + [(300, t) for t in plain] + [(None, "word " * 200_000 + "\nReleased under the MIT License.")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("license", F.lit("x"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    right = [got[i].families == v for i, v in enumerate(marks.values())]
+    wrong = [(t, got[i].families) for i, t in enumerate(marks) if not right[i]]
+    assert sum(right) >= len(marks) - 2, wrong
+    assert all(set(got[i].families.split(",")) <= {*v.split(","), "unknown", ""} for i, v in enumerate(marks.values())), wrong
+    assert all(got[100 + i].license == "none" for i in range(len(plain))), [got[100 + i] for i in range(len(plain))]
+    assert got[200].families == got[201].families == "unknown" and got[None].families == "MIT"
+    assert got[list(marks).index(wrapped)].n_licensed == 1
+
+
 def test_license_classifier_on_held_out_variants():
     rng = random.Random(77)
     model = licenses.train(["a plain sentence about the work of the day"] * 30)
     tests = [(licenses._variants(line, rng), k) for k, f in enumerate(model.families) for line in licenses.TEMPLATES[f] for _ in range(5)]
-    h, _, _, first = words.words_of(pa.array([t for t, _ in tests]))
+    h, _, _, first = words.words_of(pa.array([t for t, _ in tests]), alnum=True)
     p = model.probabilities(h, first)
     assert np.mean(p[:, :-2].argmax(1) == np.array([k for _, k in tests])) > 0.95
+    assert 0.5 <= model.least <= 0.9
 
 
 def test_sainte_lague_by_hand():
