@@ -46,9 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Tables of one query run, in a folder of its own below the shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = folder.rstrip("/") if folder else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def _files(self, table: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def tables(self) -> list[str]:
+        files, root = self._files("")
+        return [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+
+    def complete(self, table: str) -> bool:
+        """Whether a table was written to its end."""
+        files, path = self._files(f"{table}/_SUCCESS")
+        return files.exists(path)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -65,9 +78,8 @@ class Workspace:
 
     def drop(self, table: str) -> None:
         """Remove a table that nothing returned still reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._files(table)
+        files.delete(path, True)
 
 
 @contextmanager

@@ -9,18 +9,23 @@ in a bucket, buckets stay equal in size however often one line occurs, and a lin
 by a third of all texts costs one entry per block of texts.
 
 ``LineRuns`` serves continuous use: ``add`` and ``filter`` batch by batch, against all
-texts added so far. ``drop_common_lines`` adds all batches of a table first and filters
-afterwards, so that every text is judged by the whole table.
+texts added so far. With a ``folder`` it is durable: every change of the levels is a new
+manifest (a Parquet table that names the runs of each level), written after the runs
+it names and before those it no longer names are deleted, so a driver that was lost goes on from the
+last complete manifest. ``drop_common_lines`` adds all batches of a table first and
+filters afterwards, so that every text is judged by the whole table.
 
 A key is the line without white space at its ends, A-Z lower-cased; keys are told apart
 by 128-bit hashes. Nulls: a null or empty text is one empty line, whose key is too short
-to count. A null id is kept. Repeated rows count as texts of their own. An empty table
+to count. A null id is kept. Rows are counted, not ids: repeated rows are texts of their own. An empty table
 gives an empty result. Other columns travel untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +104,33 @@ def _read_blocks(text_at: int, n_buckets: int, least: int, piece: int):
     return run
 
 
-def _merge_runs(table: pa.Table) -> pa.Table:
-    """Sorted runs of one bucket into one; equal keys add their counts."""
-    parts = [unpack(p) for p in table.column("payload").to_pylist()]
-    high, low = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    n = np.concatenate([p[2].astype(np.int64) for p in parts])
-    order = _order(high, low)
-    high, low, n = high[order], low[order], n[order]
+def merge_sorted(one: tuple, two: tuple) -> tuple:
+    """Two sorted runs (high, low, count) into one; equal keys add their counts."""
+    at, to = np.searchsorted(one[0], two[0], "left"), np.searchsorted(one[0], two[0], "right")
+    # Where 64 bits tie, the other 64 decide; ties are few, as keys are hashes.
+    for i in np.flatnonzero(to > at).tolist():
+        at[i] += np.searchsorted(one[1][at[i] : to[i]], two[1][i], "left")
+    place = at + np.arange(len(at))
+    mine = np.ones(len(one[0]) + len(at), bool)
+    mine[place] = False
+    high, low, n = (np.empty(len(mine), np.int64 if k == 2 else np.uint64) for k in range(3))
+    for out, x, y in zip((high, low, n), one, two, strict=True):
+        out[mine], out[place] = x, y
     first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-    out = pack(high[first], low[first], smallest(np.add.reduceat(n, first)))
-    return pa.table({"block": pa.array([-1], pa.int64()), "bucket": table.column("bucket").slice(0, 1).combine_chunks(), "payload": pa.array([out], pa.binary())})
+    return high[first], low[first], np.add.reduceat(n, first)
+
+
+def _merge_runs(table: pa.Table) -> pa.Table:
+    """Sorted runs of one bucket into one, always the two shortest first."""
+    runs = [tuple(unpack(p)) for p in table.column("payload").to_pylist()]
+    heap = [(len(r[0]), i, r) for i, r in enumerate(runs)]
+    heapify(heap)
+    while len(heap) > 1:
+        a, b = heappop(heap), heappop(heap)
+        merged = merge_sorted(a[2], b[2])
+        heappush(heap, (len(merged[0]), a[1], merged))
+    high, low, n = heap[0][2]
+    return pa.table({"block": pa.array([-1], pa.int64()), "bucket": table.column("bucket").slice(0, 1).combine_chunks(), "payload": pa.array([pack(high, low, smallest(n))], pa.binary())})
 
 
 def _anti_join(min_texts: int):
@@ -165,43 +187,85 @@ def _rewrite(text_at: int, n_buckets: int, least: int, schema: pa.Schema):
 
 
 class LineRuns:
-    """Sorted runs of line keys, by level, each a Parquet table of one row per bucket."""
+    """Sorted runs of line keys, by level, each a Parquet table of one row per bucket.
 
-    def __init__(self, spark, least: int = 1, min_texts: int = 10, fanout: int = FANOUT, piece: int = 4_000_000):
-        self.ws, self.n = Workspace(spark, "lines"), buckets(spark)
-        self.least, self.min_texts, self.fanout, self.piece = least, min_texts, fanout, piece
-        self.levels: list[list[DataFrame]] = []
-        self._made = 0
+    Without ``folder`` the runs live as long as the session; with one (shared by all
+    executors) they are durable, and the same folder opened again goes on where its last
+    manifest stood. The number of buckets is fixed by the first manifest.
+    """
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        self._made += 1
-        return self.ws.write(df, f"run-{self._made}")
+    def __init__(self, spark, least: int = 1, min_texts: int = 10, fanout: int = FANOUT, piece: int = 4_000_000, folder: str | None = None):
+        self.spark, self.durable, self.n = spark, folder is not None, buckets(spark)
+        self.ws = Workspace(spark, "lines", folder)
+        self.least, self.min_texts, self.fanout, self.piece = least, min_texts, fanout, piece
+        self.levels: list[list[str]] = []
+        self._version = -1
+        if folder is not None:
+            self._open()
+
+    def _open(self) -> None:
+        """Take over the newest manifest that was written to its end."""
+        versions = [int(name.removeprefix("manifest-")) for name in self.ws.tables() if name.startswith("manifest-") and self.ws.complete(name)]
+        if versions:
+            self._version = max(versions)
+            rows = self.spark.read.schema("level int, nth int, run string, buckets int").parquet(self.ws.path(f"manifest-{self._version}")).orderBy("level", "nth").collect()
+            self.n = rows[0].buckets
+            for r in rows:
+                while len(self.levels) <= r.level:
+                    self.levels.append([])
+                if r.run:
+                    self.levels[r.level].append(r.run)
+
+    def _publish(self, levels: list[list[str]]) -> None:
+        """Make ``levels`` the runs in force; then delete what they no longer name."""
+        gone = {run for level in self.levels for run in level} - {run for level in levels for run in level}
+        if self.durable:
+            self._version += 1
+            rows = [(i, k, run, self.n) for i, level in enumerate(levels) for k, run in enumerate(level or [""])]
+            self.ws.write(self.spark.createDataFrame(rows, "level int, nth int, run string, buckets int").coalesce(1), f"manifest-{self._version}")
+            self.ws.drop(f"manifest-{self._version - 2}")
+        self.levels = levels
+        for run in gone:
+            self.ws.drop(run)
+
+    def _write(self, df: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        self.ws.write(df, name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_KEYS).parquet(self.ws.path(name))
 
     def read(self, docs: DataFrame, text: str) -> DataFrame:
         """Cut a batch into blocks, written once; both ``add_blocks`` and ``filter_blocks`` take it."""
-        self._made += 1
         plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
         at = docs.columns.index(text)
         found = plain.mapInArrow(_read_blocks(at, self.n, self.least, self.piece), "block long, kind int, bucket int, payload binary")
-        return self.ws.write(found, f"blocks-{self._made}", "kind")
+        return self.ws.write(found, f"blocks-{uuid.uuid4().hex}", "kind")
 
     def _merge(self, keys: DataFrame) -> DataFrame:
         return keys.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(_merge_runs, _KEYS)
 
     def add_blocks(self, blocks: DataFrame, which: str = "true") -> None:
         """Add a batch's keys as a run of level 0, then compact every level that is full."""
+        levels = [list(level) for level in self.levels]
         level, run = 0, self._write(self._merge(blocks.where("kind = 1").where(which).select("block", "bucket", "payload")))
+        passing = []
         while True:
-            if len(self.levels) == level:
-                self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < self.fanout:
-                return
-            runs, self.levels[level] = self.levels[level], []
-            keys = runs[0]
+            if len(levels) == level:
+                levels.append([])
+            levels[level].append(run)
+            if len(levels[level]) < self.fanout:
+                break
+            runs, levels[level] = levels[level], []
+            keys = self._run(runs[0])
             for other in runs[1:]:
-                keys = keys.union(other)
+                keys = keys.union(self._run(other))
+            passing += runs
             run, level = self._write(self._merge(keys)), level + 1
+        self._publish(levels)
+        for name in passing:
+            self.ws.drop(name)
 
     def filter_blocks(self, blocks: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         """Rows of the batch with their remaining lines, and two more columns: n_lines, n_dropped."""
@@ -211,8 +275,8 @@ class LineRuns:
         keys = blocks.where("kind = 1").select("block", "bucket", "payload")
         for level in self.levels:
             for run in level:
-                keys = keys.union(run)
-        replies = self.ws.write(keys.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(_anti_join(self.min_texts), _KEYS), f"replies-{self._made}")
+                keys = keys.union(self._run(run))
+        replies = self.ws.write(keys.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(_anti_join(self.min_texts), _KEYS), f"replies-{uuid.uuid4().hex}")
         plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).schema
         out = T.StructType([*plain.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         both = blocks.where("kind = 0").select("block", "bucket", "payload").union(replies)
@@ -260,13 +324,14 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents),
+  FROM r),
 k AS (SELECT *, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id
 """

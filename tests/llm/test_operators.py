@@ -143,6 +143,41 @@ def test_line_runs_level_up(spark):
     assert [r.text for r in out] == ["own 1\nnew"]
 
 
+def test_line_runs_go_on_after_a_restart(spark, tmp_path):
+    folder, make = f"file://{tmp_path}/runs", lambda i: spark.createDataFrame([(i, f"same\nown {i}")], "doc_id long, text string")
+    for i in range(5):  # a new object per batch, as after a lost driver
+        lines.LineRuns(spark, min_texts=3, fanout=2, folder=folder).add(make(i))
+    runs = lines.LineRuns(spark, min_texts=3, fanout=2, folder=folder)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    (tmp_path / "runs" / "manifest-99").mkdir()  # a manifest that was never finished
+    again = lines.LineRuns(spark, min_texts=3, fanout=2, folder=folder)
+    assert again.levels == runs.levels
+    batch = spark.createDataFrame([(9, "SAME \nown 1\nnew")], "doc_id long, text string")
+    first, second = again.filter(batch), again.filter(batch.limit(0))
+    assert [r.text for r in first.collect()] == ["own 1\nnew"] and second.count() == 0
+    kept = {p.name for p in (tmp_path / "runs").iterdir() if p.name.startswith("run-")}
+    assert kept == {run for level in again.levels for run in level}
+
+
+def test_merging_sorted_runs():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        made = []
+        for _ in range(2):
+            n = int(rng.integers(0, 30))
+            keys = np.unique(rng.integers(0, 5, (n, 2)).astype(np.uint64), axis=0).reshape(-1, 2)
+            made.append((keys[:, 0], keys[:, 1], rng.integers(1, 9, len(keys))))
+        if not sum(len(m[0]) for m in made):
+            continue
+        want = collections.Counter()
+        for h, v, n in made:
+            for key in zip(h.tolist(), v.tolist(), n.tolist(), strict=True):
+                want[key[:2]] += key[2]
+        got = lines.merge_sorted(*made)
+        assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == sorted(want)
+        assert dict(zip(zip(got[0].tolist(), got[1].tolist(), strict=True), got[2].tolist(), strict=True)) == want
+
+
 def pairs_of(rows, threshold=70):
     sets = []
     for r in rows:
