@@ -97,6 +97,40 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints (Murmur3, seed 42), as signed 32-bit numbers."""
+    mask = np.uint64(0xFFFFFFFF)
+    turn = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & mask
+    k = (values.astype(np.uint64) & mask) * np.uint64(0xCC9E2D51) & mask
+    k = turn(k, 15) * np.uint64(0x1B873593) & mask
+    h = (turn(np.uint64(42) ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & mask
+    h ^= np.uint64(4)
+    h = (h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B) & mask
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35) & mask
+    return (h ^ (h >> np.uint64(16))).astype(np.uint32).view(np.int32)
+
+
+def even_keys(n: int) -> list[int]:
+    """One int per partition that hash partitioning into ``n`` sends there."""
+    found = np.full(n, -1, np.int64)
+    at, step = 0, 64 * n
+    while (found < 0).any():
+        values = np.arange(at, at + step)
+        place = spark_hash(values) % n
+        fresh, first = np.unique(place, return_index=True)
+        new = found[fresh] < 0
+        found[fresh[new]] = values[first[new]]
+        at += step
+    return found.tolist()
+
+
+def by_bucket(df: DataFrame, n: int, number: Column | None = None):
+    """``df`` grouped by bucket, exactly one bucket (``number``, below ``n``) to a partition."""
+    number = F.col("bucket") if number is None else number
+    keys = F.array(*[F.lit(k) for k in even_keys(n)])
+    return df.withColumn("place", F.element_at(keys, (number + 1).cast("int"))).repartition(n, "place").groupBy("place")
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that other columns, whatever their names, never travel."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, buckets, connected, distinct, mix, pack, smallest, texts, unpack
+from .common import Workspace, buckets, by_bucket, connected, distinct, mix, pack, smallest, texts, unpack
 from .words import batches_of, shingle_hashes, words_of
 
 #: Keys shared by more texts are not expanded into pairs.
@@ -371,13 +371,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     spark = docs.sparkSession
     ws, nb, bands = Workspace(spark, "jaccard"), buckets(spark), Bands(threshold)
+    n_keys = nb * WAVES
     source = texts(docs, doc_id, text).toDF("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType
-    signed = ws.write(source.mapInArrow(_sign(bands, nb, to_arrow_type(kind), piece), _SIGNED.format(id=kind.simpleString())), "signed", "kind")
+    signed = ws.write(source.mapInArrow(_sign(bands, n_keys, to_arrow_type(kind), piece), _SIGNED.format(id=kind.simpleString())), "signed", "kind")
     keys = signed.where("kind = 2").select("node", "bucket", "payload")
     found = None
     for wave in range(WAVES):
-        part = keys.where(F.col("bucket") % WAVES == wave).repartition(nb, "bucket").groupBy("bucket").applyInArrow(_meet(hot), _FOUND_SQL)
+        part = by_bucket(keys.where(F.col("bucket") % WAVES == wave), nb, F.floor(F.col("bucket") / WAVES)).applyInArrow(_meet(hot), _FOUND_SQL)
         part = ws.write(part, f"found-{wave}", "kind")
         found = part if found is None else found.union(part)
     ws.drop("signed/kind=2")

@@ -3,8 +3,10 @@
 The corpus is cut into blocks of some millions of tokens. A block names each distinct
 word or bigram it holds once, with its training count, to the hash bucket that owns it;
 the bucket adds the counts of all blocks and replies. So one row of packed numbers moves
-per block and bucket, a word that a third of all texts hold costs one entry per block,
-and buckets stay equal in size whatever the distribution of words.
+per block and bucket, and a word that a third of all texts hold costs one entry per block.
+A bigram's bucket goes by its context, except after frequent words (above ``1 / (HOT *
+buckets)`` of all tokens, so at most ``HOT * buckets`` of them): what follows these is spread over all
+buckets, and their totals are added up in a second small step and sent to all tasks.
 
 Tables written below the shared folder, all partitioned by bucket or block:
 
@@ -46,13 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, Workspace, as_bytes, buckets, mix, pack, remainder, smallest, texts, unpack
+from .common import LOWER, Workspace, as_bytes, buckets, by_bucket, mix, pack, remainder, smallest, texts, unpack
 
 END, BEGIN = b"", b"\n"
 #: Katz's cut-off: counts above it are trusted.
 CUTOFF = 5
 #: Waves of buckets in which bigrams are counted.
 WAVES = 3
+#: A context with more than this part of a bucket's share of all tokens is spread over all buckets.
+HOT = 4
 
 
 def discounts(n: list[int], k: int = CUTOFF) -> list[float]:
@@ -201,45 +205,69 @@ def _gather(table: pa.Table) -> tuple:
     return table.column("ids")[row].as_py(), lengths, held.astype(bool), seq, h, totals, key, starts, twos
 
 
-def _ask_bigrams(n_buckets: int, wave: int):
+def _owners(h: np.ndarray, totals: np.ndarray, context: np.ndarray, word: np.ndarray, n_tokens: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each bigram, and which local words are frequent contexts."""
+    hot = totals * HOT * n_buckets > n_tokens
+    spread = mix(h[context] + mix(h[word]))
+    return (np.where(hot[context], spread, h[context]) % np.uint64(n_buckets)).astype(np.int64), hot
+
+
+def _types(key: np.ndarray, h: np.ndarray, totals: np.ndarray, n_tokens: int, n_buckets: int):
+    """The block's distinct bigrams by bucket, context and word: the number of each token's, context, word, bucket, frequent contexts."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(head) - 1
+    pair = ordered[head]
+    context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    owner, hot = _owners(h, totals, context, word, n_tokens, n_buckets)
+    order = np.argsort(owner, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[number], context[order], word[order], owner[order], hot
+
+
+def _runs(context: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where a new context or bucket begins."""
+    return np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (owner[1:] != owner[:-1])])[: len(context)])
+
+
+def _ask_bigrams(stats: list[int], n_buckets: int, wave: int):
     def run(table: pa.Table) -> pa.Table:
         _, lengths, held, _, h, totals, key, _, _ = _gather(table)
-        train = np.repeat(~held, lengths)
-        mine = (h % np.uint64(n_buckets)) % np.uint64(WAVES) == wave
-        mine = mine[(key >> np.uint64(32)).astype(np.int64)]
-        marked = np.sort((key[mine] << np.uint64(1)) | train[mine])
-        if not len(marked):
-            return _reply([])
-        pair = marked >> np.uint64(1)
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
-        pair = pair[first]
-        context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        owner = (h % np.uint64(n_buckets)).astype(np.int64)[context]
+        number, context, word, owner, hot = _types(key, h, totals, stats[0], n_buckets)
+        counts = np.bincount(number, np.repeat(~held, lengths), minlength=len(context)).astype(np.int64)
+        del number, key
         edges = np.searchsorted(owner, np.arange(n_buckets + 1))
         block, rows = table.column("block")[0].as_py(), []
-        for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for b in range(wave, n_buckets, WAVES):
+            i, j = edges[b], edges[b + 1]
             if j > i:
-                own, runs = np.unique(context[i:j], return_counts=True)
-                rows.append((block, b, pack(h[own], smallest(runs), _five(_short(h[word[i:j]])), smallest(counts[i:j]), smallest(totals[word[i:j]])), None))
+                at = _runs(context[i:j], owner[i:j])
+                own, runs = context[i:j][at], np.diff(np.concatenate([at, [j - i]]))
+                rows.append((block, b, pack(h[own], smallest(runs), hot[own].astype(np.uint8), _five(_short(h[word[i:j]])), smallest(counts[i:j]), smallest(totals[word[i:j]])), None))
         return _reply(rows)
 
     return run
 
 
 def _add_bigrams(stats: list[int]):
+    """One bucket of bigrams: a reply to each block (block >= 0), the model's rows (-1), its part of frequent contexts (-2)."""
+
     def run(table: pa.Table) -> pa.Table:
         one = Unigrams(stats)
         parts = [unpack(p) for p in table.column("payload").to_pylist()]
-        sizes, n_contexts = [len(p[3]) for p in parts], [len(p[0]) for p in parts]
+        sizes, n_contexts = [len(p[4]) for p in parts], [len(p[0]) for p in parts]
         asked = np.concatenate([p[0] for p in parts])
-        contexts, local = np.unique(asked, return_inverse=True)
+        contexts, first, local = np.unique(asked, return_index=True, return_inverse=True)
+        hot = np.concatenate([p[2] for p in parts])[first].astype(bool)
         of = np.repeat(local, np.concatenate([p[1] for p in parts]).astype(np.int64))
-        word = np.concatenate([_unfive(p[2]) for p in parts])
+        word = np.concatenate([_unfive(p[3]) for p in parts])
         key = mix(contexts)[of] + mix(word)
         types, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([p[3] for p in parts]).astype(np.float64)).astype(np.int64)
-        lower = np.concatenate([p[4].astype(np.int64) for p in parts])[first]
+        count = np.bincount(inverse, np.concatenate([p[4] for p in parts]).astype(np.float64)).astype(np.int64)
+        lower = np.concatenate([p[5].astype(np.int64) for p in parts])[first]
         of_type, word = of[first], word[first]
         del key, types, first
         seen = count > 0
@@ -256,31 +284,48 @@ def _add_bigrams(stats: list[int]):
         order = np.lexsort((word[seen], of_type[seen]))
         model = pack(contexts, mass, *[smallest(x) for x in per], smallest(np.bincount(of_type[seen], minlength=n)), _five(word[seen][order]), smallest(count[seen][order]))
         rows.append((-1, bucket, model, [int((count == r).sum()) for r in range(1, CUTOFF + 2)]))
+        if hot.any():
+            rows.append((-2, bucket, pack(contexts[hot], mass[hot], *[x[hot] for x in per]), None))
         return _reply(rows)
 
     return run
 
 
-def _score(stats: list[int], pairs: list[int], n_buckets: int, schema: pa.Schema):
+def _frequent(bigrams: DataFrame) -> dict[str, np.ndarray]:
+    """Totals of the frequent contexts over all buckets, by context: at most ``HOT * buckets`` rows reach the driver."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                context, mass, *per = unpack(payload)
+                yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(mass), *[pa.array(x.astype(np.int64)) for x in per]], names=["context", "mass", *[f"n{r}" for r in range(CUTOFF + 1)]])
+
+    schema = "context long, mass double, " + ", ".join(f"n{r} long" for r in range(CUTOFF + 1))
+    sums = bigrams.where("block = -2").select("payload").mapInArrow(read, schema).groupBy("context").agg(F.sum("mass").alias("mass"), *[F.sum(f"n{r}").alias(f"n{r}") for r in range(CUTOFF + 1)])
+    rows = sums.orderBy("context").collect()
+    contexts = np.array([r.context for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(contexts)
+    return {"context": contexts[order], "mass": np.array([r.mass for r in rows])[order], "per": np.array([[r[f"n{k}"] for k in range(CUTOFF + 1)] for r in rows], np.float64).reshape(-1, CUTOFF + 1)[order]}
+
+
+def _score(stats: list[int], pairs: list[int], frequent, n_buckets: int, schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
         one, d2 = Unigrams(stats), discounts(pairs)
         ids, lengths, held, seq, h, totals, key, starts, twos = _gather(table)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        number = np.empty(len(key), np.int64)
-        number[order] = np.cumsum(head) - 1
-        pair = sorted_key[head]
-        context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        number, context, word, owner, hot = _types(key, h, totals, stats[0], n_buckets)
         replies = [unpack(p) for p in twos]
         count = np.concatenate([r[0].astype(np.int64) for r in replies])
-        own = np.unique(context)
-        mass = np.zeros(len(h))
+        own = context[_runs(context, owner)]
+        mass, per = np.zeros(len(h)), np.zeros((len(h), CUTOFF + 1))
         mass[own] = np.concatenate([r[1] for r in replies])
-        per = [np.concatenate([r[i].astype(np.float64) for r in replies]) for i in range(2, 3 + CUTOFF)]
-        context_total, kept = np.zeros(len(h)), np.zeros(len(h))
-        context_total[own] = sum((r + 1) * x for r, x in enumerate(per[:-1])) + per[-1]
-        kept[own] = sum(d * (r + 1) * x for r, (d, x) in enumerate(zip(d2, per[:-1], strict=True))) + per[-1]
+        for r in range(CUTOFF + 1):
+            per[own, r] = np.concatenate([x[2 + r] for x in replies])
+        common = np.flatnonzero(hot)
+        common = common[np.isin(h[common], frequent.value["context"])]
+        at = np.searchsorted(frequent.value["context"], h[common])
+        mass[common], per[common] = frequent.value["mass"][at], frequent.value["per"][at]
+        context_total = per @ np.array([*range(1, CUTOFF + 1), 1.0])
+        kept = per @ np.array([*[d * (r + 1) for r, d in enumerate(d2)], 1.0])
         score = np.log10(bigram(count, discounted(count, d2), one.p(totals)[word], context_total[context], kept[context], mass[context]))
         base = np.log10((totals + 1) / (one.total + one.distinct + 1))
         add = lambda x: np.add.reduceat(x, starts)
@@ -307,13 +352,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     """
     spark = docs.sparkSession
     ws, n = Workspace(spark, "katz"), buckets(spark)
+    n_pairs = n * WAVES
     rows = texts(docs, doc_id, text).withColumn("__held", remainder(f"`{doc_id}`", modulus) == held)
     id_type = rows.schema[0].dataType
     arrow_id = pa.schema([("x", _arrow(id_type))]).field(0).type
     schema = f"block long, bucket int, ids array<{id_type.simpleString()}>, payload binary, kind int"
     blocks = ws.write(rows.mapInArrow(_blocks(n, block_tokens, arrow_id), schema), "blocks", "kind")
     ask = blocks.where("kind = 1").select("block", "bucket", "payload")
-    unigrams = ws.write(ask.repartition(n, "bucket").groupBy("bucket").applyInArrow(_add_unigrams, _REPLY_SQL), "unigrams")
+    unigrams = ws.write(by_bucket(ask, n).applyInArrow(_add_unigrams, _REPLY_SQL), "unigrams")
     stats = _summed(unigrams, 3 + CUTOFF)
     tokens = blocks.where("kind = 0").select("block", "bucket", "ids", "payload", "kind")
     none = F.lit(None).cast(f"array<{id_type.simpleString()}>").alias("ids")
@@ -321,13 +367,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     ws.drop("blocks/kind=1")
     bigrams = None
     for wave in range(WAVES):
-        asked = known.groupBy("block").applyInArrow(_ask_bigrams(n, wave), _REPLY_SQL)
-        part = ws.write(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_add_bigrams(stats), _REPLY_SQL), f"bigrams-{wave}")
+        asked = known.groupBy("block").applyInArrow(_ask_bigrams(stats, n_pairs, wave), _REPLY_SQL)
+        part = ws.write(by_bucket(asked, n, F.floor(F.col("bucket") / WAVES)).applyInArrow(_add_bigrams(stats), _REPLY_SQL), f"bigrams-{wave}")
         bigrams = part if bigrams is None else bigrams.union(part)
     pairs = _summed(bigrams, 1 + CUTOFF)
+    frequent = spark.sparkContext.broadcast(_frequent(bigrams))
     known = known.union(bigrams.where("block >= 0").select("block", "bucket", none, "payload", F.lit(3)))
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
-    return known.groupBy("block").applyInArrow(_score(stats, pairs, n, pa.schema([(f.name, _arrow(f.dataType)) for f in out])), out)
+    return known.groupBy("block").applyInArrow(_score(stats, pairs, frequent, n_pairs, pa.schema([(f.name, _arrow(f.dataType)) for f in out])), out)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

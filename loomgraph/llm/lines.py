@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, LOWER, Workspace, as_bytes, buckets, pack, smallest, unpack
+from .common import BLANKS, LOWER, Workspace, as_bytes, buckets, by_bucket, pack, smallest, unpack
 from .words import batches_of
 
 #: Runs of one level that are merged into one of the next.
@@ -244,7 +244,7 @@ class LineRuns:
         return self.ws.write(found, f"blocks-{uuid.uuid4().hex}", "kind")
 
     def _merge(self, keys: DataFrame) -> DataFrame:
-        return keys.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(_merge_runs, _KEYS)
+        return by_bucket(keys, self.n).applyInArrow(_merge_runs, _KEYS)
 
     def add_blocks(self, blocks: DataFrame, which: str = "true") -> None:
         """Add a batch's keys as a run of level 0, then compact every level that is full."""
@@ -276,7 +276,7 @@ class LineRuns:
         for level in self.levels:
             for run in level:
                 keys = keys.union(self._run(run))
-        replies = self.ws.write(keys.repartition(self.n, "bucket").groupBy("bucket").applyInArrow(_anti_join(self.min_texts), _KEYS), f"replies-{uuid.uuid4().hex}")
+        replies = self.ws.write(by_bucket(keys, self.n).applyInArrow(_anti_join(self.min_texts), _KEYS), f"replies-{uuid.uuid4().hex}")
         plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).schema
         out = T.StructType([*plain.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
         both = blocks.where("kind = 0").select("block", "bucket", "payload").union(replies)

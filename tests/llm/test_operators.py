@@ -76,7 +76,19 @@ def test_word_splitting_and_hashes():
     assert alnum.tolist() == [0, 4, 5]
 
 
-def test_katz_scores_and_normalisation(docs, rows, empty):
+def test_buckets_fill_partitions_evenly(spark):
+    from loomgraph.llm import common
+
+    values = np.array([0, 1, 7, 123456, 2**31 - 1])
+    assert common.spark_hash(values).tolist() == [r[0] for r in spark.createDataFrame([(int(v),) for v in values], "v int").select(F.hash("v")).collect()]
+    df = spark.range(64).select((F.col("id") % 16).cast("int").alias("bucket"))
+    sizes = common.by_bucket(df, 16).applyInPandas(lambda t: t.assign(p=__import__("pyspark").TaskContext.get().partitionId())[["bucket", "p"]], "bucket int, p int").distinct().collect()
+    assert sorted(r.p for r in sizes) == list(range(16)) and len({r.bucket for r in sizes}) == 16
+
+
+@pytest.mark.parametrize("hot", [4, 0, 10**9])
+def test_katz_scores_and_normalisation(monkeypatch, hot, docs, rows, empty):
+    monkeypatch.setattr(katz, "HOT", hot)  # no context, some, and all contexts spread
     train, held = [], []
     for r in rows:
         out = zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 == 2
