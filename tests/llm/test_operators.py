@@ -238,6 +238,42 @@ def test_jaccard_truncated_copies_of_a_text_with_hot_keys(monkeypatch, spark, ti
     assert got == {i: want[i] for i, _ in rows}
 
 
+@pytest.mark.parametrize("hot", [1, 8])
+def test_jaccard_at_the_ends_of_bands(spark, hot):
+    """Contained texts and clusters with sizes on both sides of every band's end; a text whose larger partners are all weak."""
+    found = []
+
+    def add(core, tails):
+        """Texts with a common core of shingles and tails of their own."""
+        head = [f"c{len(found)}x{i}" for i in range(core + 2)]
+        found.append(" ".join(head))
+        found.extend(" ".join([*head, *[f"t{len(found)}x{k}x{i}" for i in range(t)]]) for k, t in enumerate(tails))
+
+    add(482, [168] * 15)
+    add(482, [145] * 9)
+    for end in [int(x) for x in jaccard.Bands(70).ends if 12 <= x <= 1500]:
+        for total in (end - 1, end, end + 1):
+            small = total * 41 // 100
+            add(small, [total - 2 * small])
+            add(small, [total - 2 * small] * 4)
+            add(total // 2, [total % 2, 1, 2, 0])
+    rows = list(enumerate(found))
+    random.Random(1).shuffle(rows)
+    sets = {i: set(zip(*[t.split()[k:] for k in range(3)], strict=False)) for i, t in rows}
+    # Only texts of one core share shingles.
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t.split()[0]].append(i)
+    want = collections.Counter({i: 0 for i in sets})
+    for some in groups.values():
+        for i in some:
+            want[i] = sum(i != j and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]) for j in some)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.n_similar for r in jaccard.similar_groups(df, hot=hot, piece=60_000).collect()}
+    assert {i: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
+    assert sum(want.values()) > 300
+
+
 def test_jaccard_edge_cases(spark, docs, empty):
     assert jaccard.similar_groups(empty).count() == 0
     kept = jaccard.keep_one(docs)
