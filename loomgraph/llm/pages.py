@@ -58,7 +58,6 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _CHROME = re.compile(r"(?:^|[-_\s])(?:nav|navbar|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert\w*|banner|promo|sponsor\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination)(?:$|[-_\s])", re.I)
 #: Classes of articles that are comments on, or teasers of, another one.
 _ASIDE = re.compile(r"(?:[\w-]+[-_])?(?:comments?|repl(?:y|ies)|teasers?|related|recommended|promos?|sponsored|ads?|adverts?|advertisement)(?:[-_](?:body|item|content|card))?", re.I)
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -122,37 +121,39 @@ def parse(page: str) -> Node:
     at = begun = 0
     quotes = True
 
-    def text(to: int) -> None:
-        if to > begun:
-            stack.nodes[-1].children.append(page[begun:to])
-
-    while match := _OPEN.search(page, at):
-        if match[1] or match[2]:
-            close = page.find("-->", match.end()) if match[1] else page.find(">", match.end())
-            text(match.start())
-            begun = at = len(page) if close < 0 else close + (3 if match[1] else 1)
+    nodes, rest, search = stack.nodes, _REST.match, _OPEN.search
+    while match := search(page, at):
+        start, after = match.span()
+        comment, other, slash, name = match.groups()
+        if comment or other:
+            close = page.find("-->", after) if comment else page.find(">", after)
+            if start > begun:
+                nodes[-1].children.append(page[begun:start])
+            begun = at = len(page) if close < 0 else close + (3 if comment else 1)
             continue
-        end = _REST.match(page, match.end()).end() if quotes else page.find(">", match.end())
+        end = rest(page, after).end() if quotes else page.find(">", after)
         if quotes and (end == len(page) or page[end] != ">"):
-            quotes, end = False, page.find(">", match.end())
+            quotes, end = False, page.find(">", after)
         if end < 0:  # no tag ends any more
             break
-        text(match.start())
-        name, attributes = match[4].lower(), page[match.end() : end]
+        if start > begun:
+            nodes[-1].children.append(page[begun:start])
+        name, attributes = name.lower(), page[after:end]
         begun = at = end + 1
-        if match[3]:
+        if slash:
             stack.end(name)
             continue
         stack.make_room(name)
         node = Node(name, attributes)
-        stack.nodes[-1].children.append(node)
+        nodes[-1].children.append(node)
         if name in _RAW:
             raw = _raw_end(name).search(page, at)
             node.children.append(page[at : raw.start() if raw else len(page)])
             begun = at = raw.end() if raw else len(page)
         elif name not in _VOID and not attributes.endswith("/"):
             stack.push(node)
-    text(len(page))
+    if len(page) > begun:
+        nodes[-1].children.append(page[begun:])
     return root
 
 
@@ -193,9 +194,9 @@ def hash_subtrees(root: Node, out: set[int]) -> None:
                 parts.append(f"<{c.key}>")
                 filled = True
             else:
-                text = _SPACE.sub(" ", c)
+                text = " ".join(c.split())
                 parts.append(text)
-                filled = filled or text.strip() != ""
+                filled = filled or text != ""
         node.key = xxhash.xxh3_64_intdigest("\0".join(parts))
         if filled and node.tag not in ("#root", "html", "body", "article", "main") and not (inside and node.tag in _PROSE):
             out.add(node.key)
@@ -236,7 +237,7 @@ def _text(tops: list[Node], template: set[int]) -> str:
 
     def end_block() -> None:
         if current:
-            text = _SPACE.sub(" ", html.unescape("".join(current))).strip()
+            text = " ".join(html.unescape("".join(current)).split())
             current.clear()
             if text:
                 blocks.append(text)
