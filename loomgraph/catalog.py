@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, ontology_queries, research_queries
+from .plans import corpus_queries, detail_queries, ontology_queries, research_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ontology_queries.QUERIES, **corpus_queries.QUERIES, **research_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**ontology_queries.ORACLE, **corpus_queries.ORACLE, **research_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ontology_queries.QUERIES, **corpus_queries.QUERIES, **research_queries.QUERIES, **detail_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**ontology_queries.ORACLE, **corpus_queries.ORACLE, **research_queries.ORACLE, **detail_queries.ORACLE}

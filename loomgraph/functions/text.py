@@ -103,3 +103,48 @@ def year_of(value: Column) -> Column:
 
 def section_of(source_type: Column) -> Column:
     return F.when(source_type == "abstract", "abstract").when(source_type == "guide", "guideline").otherwise("textbook")
+
+
+def shelf_id_of(facet: Column, term: Column) -> Column:
+    """A shelf's id: its facet and its term."""
+    return F.concat(F.lit("facet:"), facet, F.lit("/"), term)
+
+
+def term_of_shelf(shelf: Column) -> Column:
+    """The term of a shelf id; null for a facet's own root, which has none."""
+    return F.when(F.startswith(shelf, F.lit("facet:")) & F.contains(shelf, F.lit("/")), F.regexp_replace(shelf, "^facet:[^/]*/", ""))
+
+
+def clean_label(label: Column) -> Column:
+    """Without a trailing classifier of food products, trimmed; a label of nothing else stays."""
+    short = F.trim(F.regexp_replace(F.trim(label), r"(?i)\s+food product$", ""))
+    return F.when(short == "", F.trim(label)).otherwise(short)
+
+
+def term_text(label: Column, synonyms: Column, separator: str = " ; ", limit: int = 5) -> Column:
+    """A term as one text for encoders: its label and the first ``limit`` synonyms."""
+    return F.array_join(F.concat(F.array(label), F.slice(F.coalesce(synonyms, F.array().cast("array<string>")), 1, limit)), separator)
+
+
+def json_object(reply: Column) -> Column:
+    """The outermost {...} of a model's reply, without fences and prose, as text; null where there is none that parses."""
+    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    return F.when((body != "") & F.get_json_object(body, "$").isNotNull(), body)
+
+
+def source_of(discovery_pass: Column) -> Column:
+    """Name of a theme's source by the pass that found it."""
+    return F.when(discovery_pass == "merged", "merged").when(discovery_pass == "relatedness", "relatedness_only").when(discovery_pass.isin("global_similarity", "per_shelf_similarity", "bertopic"), "similarity_only").otherwise("other")
+
+
+def clamp_words(text: Column, limit: int = 2000) -> Column:
+    """At most ``limit`` characters, cut at the last blank within them."""
+    head = F.substring(text, 1, limit)
+    whole = F.length(text) <= limit
+    cut = F.regexp_extract(head, r"(?s)^(.*)\s\S*$", 1)
+    return F.when(whole, text).when(cut == "", head).otherwise(F.rtrim(cut))
+
+
+def is_real_embedding(model: Column) -> Column:
+    """Vectors of a named model that is no stand-in."""
+    return model.isNotNull() & ~F.startswith(F.lower(model), F.lit("mock")) & ~F.startswith(F.lower(model), F.lit("hash"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +69,66 @@ def reproducibility(a: DataFrame, b: DataFrame) -> DataFrame:
     """Jaccard of two node sets; 1 when both are empty."""
     x, y = a.select("node").distinct().withColumn("x", F.lit(1)), b.select("node").distinct().withColumn("y", F.lit(1))
     return x.join(y, "node", "full").agg(F.coalesce(F.sum(F.col("x") * F.col("y")) / F.count("*"), F.lit(1.0)).alias("jaccard"))
+
+
+def specificity(distances: DataFrame) -> DataFrame:
+    """``distances(term, distance)`` of homed leaves: mean and median; 0 without any."""
+    return distances.agg(F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"), F.coalesce(F.median("distance"), F.lit(0.0)).alias("median_distance"))
+
+
+def faithfulness(homes: DataFrame) -> DataFrame:
+    """``homes(term_id, edge_type)``: shares of is-a, other relations and fabricated edges among leaves with a home."""
+    kinds = {"is-a": "is_a", "other-relation": "other_relation", "fabricated": "fabricated"}
+    n = F.greatest(F.count_if(F.col("edge_type").isin(*kinds)), F.lit(1))
+    return homes.agg(*[(F.count_if(F.col("edge_type") == k) / n).alias(v) for k, v in kinds.items()])
+
+
+def settled(homes: DataFrame, direct: DataFrame) -> DataFrame:
+    """Distinct chunks that settle at each home: ``homes(term_id, home)``, ``direct(chunk_id, term_id)``."""
+    return direct.join(homes.where("home is not null").select("term_id", "home").distinct(), "term_id").groupBy("home").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+
+
+def rolled_up_below(root: str, direct: DataFrame, anc: DataFrame) -> DataFrame:
+    """Distinct chunks of each term, rolled up within the subtree of ``root`` only (the root included)."""
+    inside = anc.where(F.col("ancestor") == root).select(F.col("term").alias("t")).union(direct.sparkSession.createDataFrame([(root,)], "t string")).distinct()
+    d = direct.join(inside, direct["term_id"] == inside["t"], "left_semi")
+    up = anc.join(inside.withColumnRenamed("t", "ancestor"), "ancestor", "left_semi").select(F.col("term").alias("term_id"), "ancestor")
+    wide = d.select("chunk_id", "term_id").union(d.join(up, "term_id").select("chunk_id", F.col("ancestor").alias("term_id"))).distinct()
+    return wide.groupBy("term_id").agg(F.count("*").alias("n_chunks"))
+
+
+def concentration(counts: DataFrame, top: int = 5) -> DataFrame:
+    """``counts(topic, term_id, n)``: share of each topic's mentions that its ``top`` terms have; ties by id."""
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term_id"))
+    some = counts.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("topic").agg(F.sum("n").alias("head"))
+    return counts.groupBy("topic").agg(F.sum("n").alias("all")).join(some, "topic").select("topic", (F.col("head") / F.col("all")).alias("share"))
+
+
+def nameability(labels: DataFrame, recognised) -> DataFrame:
+    """Share of ``labels(label)`` that ``recognised`` (an expression or UDF over the label) accepts; what it can't judge (null) counts as no."""
+    return labels.agg(F.count("*").alias("n_labels"), F.when(F.count("*") == 0, 0.0).otherwise(F.count_if(F.coalesce(recognised(F.col("label")), F.lit(False))) / F.count("*")).alias("share"))
+
+
+def macro_topics(names: list[str], vectors: list[list[float]], k: int) -> dict[str, int]:
+    """Agglomerative clustering (average linkage, cosine) of topics into ``k`` groups, numbered by first name.
+
+    Topics are what people look at, so their vectors are a bounded list; ties merge the pair that comes first.
+    """
+    if not names:
+        return {}
+    x = np.asarray(vectors, np.float64).reshape(len(names), -1)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    far = 1 - x @ x.T
+    np.fill_diagonal(far, np.inf)
+    groups: dict[int, list[int]] = {i: [i] for i in range(len(names))}
+    while len(groups) > max(1, k):
+        i, j = divmod(int(np.argmin(far)), len(names))
+        i, j = min(i, j), max(i, j)
+        a, b = len(groups[i]), len(groups[j])
+        merged = (a * far[i] + b * far[j]) / (a + b)
+        far[i], far[:, i] = merged, merged
+        far[i, i] = np.inf
+        far[j], far[:, j] = np.inf, np.inf
+        groups[i] += groups.pop(j)
+    order = sorted(groups.values(), key=lambda g: min(names[i] for i in g))
+    return {names[i]: n for n, g in enumerate(order) for i in g}

@@ -39,6 +39,7 @@ def _block_pairs(queries: DataFrame, vectors: DataFrame, block: int):
     """Both sides cut into hash blocks of about ``block`` rows, each copied to the blocks it meets."""
 
     def cut(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        df = df.where("embedding is not null and size(embedding) > 0")
         n = max(1, -(-df.count() // block))
         return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)), n
 
@@ -64,7 +65,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> Da
 
     Query blocks meet data blocks; each pair of blocks is one matrix product and keeps k
     per query, then the k best of all blocks are ranked. The number of block pairs grows
-    with both sides; for much larger tables use ``lsh_knn``.
+    with both sides; for much larger tables use ``lsh_knn``. Null and empty vectors are left out.
     """
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +203,8 @@ def neighbours_within(edges: DataFrame, starts: DataFrame, hops: int) -> DataFra
 
 def lsh_knn(vectors: DataFrame, k: int, tables: int = 8, bits: int = 12, seed: int = 7) -> DataFrame:
     """Approximate kNN for large tables (extension): random hyperplanes; candidates share a bucket in some table."""
-    size = len(vectors.select("embedding").first()[0])
+    vectors = vectors.where("embedding is not null and size(embedding) > 0")
+    size = len((vectors.select("embedding").first() or [[0.0]])[0])
     planes = np.random.default_rng(seed).standard_normal((tables * bits, size))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,3 +218,11 @@ def lsh_knn(vectors: DataFrame, k: int, tables: int = 8, bits: int = 12, seed: i
     one, two = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")), vectors.select(F.col("vec_id").alias("neighbour_id"), F.col("embedding").alias("y"))
     sims = pairs.join(one, "query_id").join(two, "neighbour_id").select("query_id", "neighbour_id", dot(F.col("x"), F.col("y")).alias("sim"))
     return sims.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "neighbour_id"))).where(F.col("rank") <= k)
+
+
+def community_sizes(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per run: number of communities, median and largest size, the largest one's share, edges. ``members(run, community, node)``, ``edges(run, a, b)``."""
+    sizes = members.groupBy("run", "community").agg(F.count_distinct("node").alias("n"))
+    g = sizes.groupBy("run").agg(F.count("*").alias("n_communities"), F.median("n").alias("median_size"), F.max("n").alias("max_size"), F.sum("n").alias("n_nodes"))
+    e = edges.groupBy("run").agg(F.count("*").alias("n_edges"))
+    return g.join(e, "run", "left").select("run", "n_communities", "median_size", "max_size", (F.col("max_size") / F.col("n_nodes")).alias("max_share"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

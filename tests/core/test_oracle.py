@@ -8,11 +8,12 @@ import duckdb
 import pytest
 
 from loomgraph import catalog
+from loomgraph.plans import detail_queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
-SOME = ["facet_routing", "link_blocklist", "ontology_depth", "name_lookup", "prune_survivors", "prune_parent", "attach_modes", "build_entities", "cooccurrence_edges", "mutual_knn_edges", "centroid_primary", "theme_keywords", "npmi_coherence", "bm25_search", "tri_hybrid_rrf", "freq_summary", "char_budget_groups", "upsert_last_wins", "nel_zip_align", "findability", "sweep_score"]
+SOME = ["facet_routing", "link_blocklist", "ontology_depth", "name_lookup", "prune_survivors", "prune_parent", "attach_modes", "build_entities", "cooccurrence_edges", "mutual_knn_edges", "centroid_primary", "theme_keywords", "npmi_coherence", "bm25_search", "tri_hybrid_rrf", "freq_summary", "char_budget_groups", "upsert_last_wins", "nel_zip_align", "findability", "sweep_score", *sorted(detail_queries.ORACLE)]
 
 
 def plain(v):
