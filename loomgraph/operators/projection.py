@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Rounds
+from .ontology import SMALL
 
 
 @dataclass(frozen=True)
@@ -63,20 +67,37 @@ def nearest_parents(kept: DataFrame, anc: DataFrame, depth: DataFrame, cap: int)
     return kept.join(best, F.col("term_id") == F.col("term"), "left").select(*kept.columns, F.col("x.parent").alias("parent"))
 
 
+def _placed_depths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kids, level, found, d = {}, [], {}, 0
+    for b in batches:
+        for term, parent in zip(b["term_id"], b["parent"], strict=True):
+            if parent is None:
+                level.append(term)
+            else:
+                kids.setdefault(parent, []).append(term)
+    while level:
+        found.update(dict.fromkeys(level, d))
+        level, d = [k for p in level for k in kids.get(p, ())], d + 1
+    if found:
+        yield pd.DataFrame({"term_id": list(found), "depth": np.fromiter(found.values(), np.int32, len(found))})
+
+
 def projected_depths(tree: DataFrame, cap: int) -> DataFrame:
-    """Root 0, else parent + 1 up to ``cap``; ``tree(term_id, parent, ...)``."""
+    """Root 0, else parent + 1 up to ``cap``; ``tree(term_id, parent, ...)``. A tree of checked, small size is walked in one task."""
     rounds = Rounds(tree.sparkSession, "projected")
     tree = rounds.write(tree)
     links = tree.select("term_id", "parent")
-    done = rounds.write(links.where("parent is null").select("term_id", F.lit(0).alias("depth")))
-    level = 0
-    while True:
-        level += 1
-        new = links.join(done.where(F.col("depth") == level - 1).select(F.col("term_id").alias("parent")), "parent").select("term_id", F.lit(level).alias("depth"))
-        new = rounds.write(new)
-        if new.isEmpty():
-            break
-        done = rounds.write(done.union(new))
+    if links.limit(SMALL + 1).count() <= SMALL:
+        done = links.coalesce(1).mapInPandas(_placed_depths, f"term_id {tree.schema['term_id'].dataType.simpleString()}, depth int")
+    else:
+        done = new = rounds.write(links.where("parent is null").select("term_id", F.lit(0).alias("depth")))
+        level = 0
+        while True:  # each round writes its own level only
+            level += 1
+            new = rounds.write(links.join(new.select(F.col("term_id").alias("parent")), "parent").select("term_id", F.lit(level).alias("depth")))
+            if new.isEmpty():
+                break
+            done = done.union(new)
     d = done.select("term_id", F.least("depth", F.lit(cap)).alias("depth"))
     return tree.join(d, "term_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 

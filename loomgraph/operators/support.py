@@ -41,6 +41,12 @@ def propagated_pairs(direct: DataFrame, anc: DataFrame, *keys: str) -> DataFrame
     return direct.select("chunk_id", "term_id", *keys).union(up).distinct()
 
 
+def below(direct: DataFrame, anc: DataFrame, terms: DataFrame) -> DataFrame:
+    """Propagated pairs that end at ``terms(term_id)``: only their part of the closure meets the links."""
+    near = anc.join(terms.select(F.col("term_id").alias("ancestor")), "ancestor", "left_semi").select("term", "ancestor")
+    return propagated_pairs(direct, near).join(terms.select("term_id"), "term_id", "left_semi")
+
+
 def support(direct: DataFrame, anc: DataFrame, *keys: str) -> DataFrame:
     """Per term (and keys): distinct chunks that mention it, and those that mention it or a descendant."""
     wide = propagated_pairs(direct, anc, *keys).groupBy("term_id", *keys).agg(F.count("*").alias("with_descendants"))

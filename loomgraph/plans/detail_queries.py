@@ -315,9 +315,9 @@ def theme_labels(t):
 # --- audits, search, stores
 
 
-@query("SELECT c_custkey AS chunk_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 10", False)
+@query("SELECT c_custkey AS chunk_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ORDER BY c_custkey LIMIT 10", False)
 def first_orphans(t):
-    return quality.first_orphans(t.read("customer").select(F.col("c_custkey").alias("chunk_id")), t.read("orders").select(F.col("o_custkey").alias("chunk_id")))
+    return quality.first_orphans(t.read("customer").select(F.col("c_custkey").alias("chunk_id")), t.read("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("chunk_id")))
 
 
 @query("SELECT 'documents' AS kind, lang AS \"group\", count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'pages', NULL, count(*) FROM pages", False)

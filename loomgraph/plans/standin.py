@@ -93,8 +93,7 @@ class Tables:
     @cached_property
     def shelves(self) -> DataFrame:
         """(shelf_id, term_id, label, parent, depth, direct, chunk_count) under a synthetic root."""
-        pairs = support.propagated_pairs(self.direct, self.anc)
-        s = projection.with_single_root(self.tree, pairs, ROOT)
+        s = projection.with_single_root(self.tree, support.below(self.direct, self.anc, self.tree.where("parent is null")), ROOT)
         label = F.lower(F.regexp_replace("term_id", "^[A-Za-z]+:", ""))
         return self._phases.write(s.select(F.col("term_id").alias("shelf_id"), "term_id", label.alias("label"), "parent", "depth", "direct", F.col("with_descendants").alias("chunk_count")))
 
