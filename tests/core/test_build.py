@@ -30,7 +30,7 @@ def test_build(spark, tmp_path):
     assert g.table("cards").count() == members.select("theme_id").distinct().count()
     # Co-occurrence finds each shelf's chunks; the similarity graph's communities share their entities and half of their chunks at least.
     named = g.table("themes").collect()
-    assert sum(r["pass"] == "merged" for r in named) >= 4 and all(r.theme_id.startswith("all/t") and "_m" in r.theme_id for r in named if r["pass"] == "merged")
+    assert sum(r["pass"] == "merged" for r in named) >= 4 and all("_m" in r.theme_id for r in named if r["pass"] == "merged"), named
     assert {tuple(r.shelf_ids) for r in named} >= {(f"t{i}",) for i in range(4)}
     assert g.table("merge_decisions").where("je = 1 and score >= 0.7").count() >= 4
     assert {r.phase for r in g.table("artifacts").collect()} >= {"layer_a", "layer_b", "layer_c"}
