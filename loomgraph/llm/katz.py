@@ -209,22 +209,25 @@ def _owners(h: np.ndarray, totals: np.ndarray, context: np.ndarray, word: np.nda
     """Bucket of each bigram, and which local words are frequent contexts."""
     hot = totals * HOT * n_buckets > n_tokens
     spread = mix(h[context] + mix(h[word]))
-    return (np.where(hot[context], spread, h[context]) % np.uint64(n_buckets)).astype(np.int64), hot
+    return (np.where(hot[context], spread, h[context]) % np.uint64(n_buckets)).astype(np.int32), hot
 
 
 def _types(key: np.ndarray, h: np.ndarray, totals: np.ndarray, n_tokens: int, n_buckets: int):
     """The block's distinct bigrams by bucket, context and word: the number of each token's, context, word, bucket, frequent contexts."""
-    order = np.argsort(key, kind="stable")
+    # Arrays over all tokens are held in 32 bits and freed early; a block has some millions of them.
+    order = np.argsort(key, kind="stable").astype(np.int32)
     ordered = key[order]
     head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(head) - 1
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(head, dtype=np.int32) - 1
     pair = ordered[head]
-    context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del order, ordered, head
+    context, word = (pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    del pair
     owner, hot = _owners(h, totals, context, word, n_tokens, n_buckets)
-    order = np.argsort(owner, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     return rank[number], context[order], word[order], owner[order], hot
 
 
