@@ -14,7 +14,13 @@ shingles. Then ``|A ^ B| <= d`` with ``d = (100-t)(|A|+|B|) / (100+t)``.
   A text left with fewer than ``d + need`` usable cells of a band is weak there (it is
   enough that one text of a pair is not). Pairs of texts weak in their band are found by an
   exact second way: a common shingle among the first ``|A| - ceil(t|A|/100) + 1`` of each,
-  in groups cut into tiles, so that no group meets in one task. A text whose partners in
+  in groups cut into tiles, so that no group meets in one task. Frequent shingles come last
+  in the order that decides what is first, the most frequent ones at the very end, so that
+  passages of many texts bring few of them together. Frequent shingles that come with the
+  same other one form one group, so that a large group of near copies meets about once and
+  not under each shingle it has in common. A sample of the weak texts tells which shingles
+  are frequent and which go together; any order and any grouping finds all pairs, so the
+  sample bears on the cost alone. A text whose partners in
   the band are all larger is minor there; minor texts meet only others, never each other,
   and only under shingles that a weak text which is not minor has among its first.
 * *Parity bits.* ``4d`` bits per band hold the parity of shingles per finer cell. Their
@@ -48,6 +54,10 @@ HOT = 8
 TILE = 512
 #: Waves of buckets in which keys meet, so that only a part of all keys is shuffled at a time.
 WAVES = 3
+#: Of so many weak classes, one tells which shingles are frequent; those met in ``FREQUENT`` of them are, at most ``KNOWN``.
+SAMPLE, FREQUENT, KNOWN = 8, 4, 1 << 20
+#: Groups of at most so many rows are expanded into pairs at once.
+FEW = 32
 
 
 class Bands:
@@ -252,8 +262,78 @@ def _meet(hot: int):
     return run
 
 
-def _heads(bands: Bands, piece: int):
-    """Of weak texts: each of the first shingles with the text's class."""
+class Frequent:
+    """Frequent shingles: their hashes (sorted), ranks (higher for more frequent ones, from 1) and groups (positions among them)."""
+
+    def __init__(self, names: np.ndarray, count: np.ndarray):
+        order = np.argsort(names)
+        self.names = names[order]
+        self.rank = np.log2(np.maximum(count[order], 1)).astype(np.int64) + 1
+        self.group = np.arange(len(names))
+
+    def place(self, sets: np.ndarray) -> np.ndarray:
+        """Position among the frequent shingles, or -1."""
+        if not len(self.names):
+            return np.full(len(sets), -1)
+        at = np.minimum(np.searchsorted(self.names, sets), len(self.names) - 1)
+        return np.where(self.names[at] == sets, at, -1)
+
+    def first(self, sets: np.ndarray, at: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first ``head`` shingles of each text, in order: shingle, its place, its text."""
+        owner, place = _owners(at), self.place(sets)
+        if (place >= 0).any():
+            rank = np.where(place >= 0, self.rank[place], 0)
+            order = np.argsort(owner * 64 + rank, kind="stable")
+            sets, place = sets[order], place[order]
+        take = np.arange(len(sets)) - at[:-1][owner] < head[owner]
+        return sets[take], place[take], owner[take]
+
+
+def _head_sizes(bands: Bands, n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, n - bands.least_partner(n) + 1, 0)
+
+
+def _count_shingles(piece: int):
+    schema = pa.schema([("shingle", pa.int64()), ("m", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches_of(batches, piece):
+            names, m = np.unique(shingle_sets(table.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(m)], schema=schema)
+
+    return run
+
+
+def _count_firsts(bands: Bands, frequent: Frequent, piece: int):
+    """Each frequent shingle among the first of a text, with the text's first frequent one: positions and texts."""
+    schema = pa.schema([("s", pa.int64()), ("w", pa.int64()), ("m", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches_of(batches, piece):
+            sets, at = shingle_sets(table.column(0))
+            _, place, owner = frequent.first(sets, at, _head_sizes(bands, np.diff(at)))
+            place, owner = place[place >= 0], owner[place >= 0]
+            _, begin, which = np.unique(owner, return_index=True, return_inverse=True)
+            both, m = np.unique((place << 32) | place[begin][which], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 32), pa.array(both & 0xFFFFFFFF), pa.array(m)], schema=schema)
+
+    return run
+
+
+def _frequent(texts: DataFrame, bands: Bands, piece: int) -> Frequent:
+    """From a sample of texts: the frequent shingles, each in the group of the one that most often comes first where it is among the first."""
+    m = F.sum("m").alias("m")
+    found = texts.mapInArrow(_count_shingles(piece), "shingle long, m long").groupBy("shingle").agg(m).where(F.col("m") >= FREQUENT).orderBy(F.desc("m"), "shingle").limit(KNOWN).toArrow()
+    frequent = Frequent(found.column("shingle").to_numpy().view(np.uint64), found.column("m").to_numpy())
+    if len(frequent.names):
+        firsts = texts.mapInArrow(_count_firsts(bands, frequent, piece), "s long, w long, m long").groupBy("s", "w").agg(m)
+        firsts = firsts.groupBy("s").agg(F.max_by("w", F.struct("m", -F.col("w"))).alias("w")).toArrow()
+        frequent.group[firsts.column("s").to_numpy()] = firsts.column("w").to_numpy()
+    return frequent
+
+
+def _heads(bands: Bands, frequent: Frequent, piece: int):
+    """Of weak texts: each of the first shingles, or the group of a frequent one, with the text's class."""
     schema = pa.schema([("shingle", pa.int64()), ("class", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +343,13 @@ def _heads(bands: Bands, piece: int):
             classes = _class_ids(sets, at)
             _, first = np.unique(classes, return_index=True)
             head = np.zeros(len(n), np.int64)
-            head[first] = np.where(n[first] > 0, n[first] - bands.least_partner(n[first]) + 1, 0)
-            owner = _owners(at)
-            take = np.arange(len(sets)) - at[:-1][owner] < head[owner]
-            o = owner[take]
-            yield pa.RecordBatch.from_arrays([pa.array(sets[take].view(np.int64)), pa.array(classes[o])], schema=schema)
+            head[first] = _head_sizes(bands, n[first])
+            shingle, place, o = frequent.first(sets, at, head)
+            rare = place < 0
+            groups = distinct((o[~rare] << 32) | frequent.group[place[~rare]])
+            shingle = np.concatenate([shingle[rare], frequent.names[groups & 0xFFFFFFFF]])
+            o = np.concatenate([o[rare], groups >> 32])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(classes[o])], schema=schema)
 
     return run
 
@@ -284,11 +366,28 @@ def _tile_pairs(bands: Bands):
         order = np.lexsort((classes, band, tb, ta, shingle))
         group = np.stack([shingle[order], ta[order], tb[order], band[order]])
         edge = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
+        length = np.diff(np.concatenate([edge, [len(order)]]))
+        few = (length > 1) & (length <= FEW) & (group[1, edge] == group[2, edge])
+        x, y = (order[i] for i in runs_to_pairs(edge[few], length[few]))
+        near = (major[x] | major[y]) & (bands.of(n[x] + n[y]) == band[x]) & (np.minimum(n[x], n[y]) * 100 >= bands.t * np.maximum(n[x], n[y]))
+        x, y = x[near], y[near]
+        names, number = np.unique(classes, return_inverse=True)
+        _, once = np.unique((np.minimum(number[x], number[y]) * len(names) + np.maximum(number[x], number[y])) * 64 + band[x], return_index=True)
+        x, y = x[once], y[once]
         out_a, out_b = [], []
-        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+        for b in np.unique(band[x]).tolist():
+            word = np.arange(int(bands.words[b]))
+            mine_x, mine_y = x[band[x] == b], y[band[x] == b]
+            step = max(1, (1 << 21) // max(1, len(word)))
+            for i in range(0, len(mine_x), step):
+                p, q = mine_x[i : i + step], mine_y[i : i + step]
+                differ = np.bitwise_count(values[off[p][:, None] + word] ^ values[off[q][:, None] + word]).sum(1, dtype=np.int64)
+                good = differ <= bands.bound(n[p] + n[q])
+                out_a.append(classes[p[good]])
+                out_b.append(classes[q[good]])
+        rest = (length > 1) & ~few
+        for i, j in zip(edge[rest].tolist(), (edge + length)[rest].tolist(), strict=True):
             rows = order[i:j]
-            if j - i < 2:
-                continue
             y = int(band[rows[0]])
             width = int(bands.words[y])
             matrix = values[off[rows][:, None] + np.arange(width)]
@@ -401,8 +500,11 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     lower = F.element_at(F.array(*[F.lit(int(x)) for x in (0, *bands.ends)]), F.col("band") + 1)
     weak = marks.join(lost, ["node", "band"], "left").where(F.col("spare") - F.coalesce("lost", F.lit(0)) < need).select("class", "n", "band", (2 * F.col("n") > lower).alias("major")).distinct()
     weak = ws.write(weak, "weak")
-    heads = _with_text(source, classes.join(weak.select("class").distinct(), "class")).select("text").mapInArrow(_heads(bands, piece), "shingle long, class long").distinct()
+    weak_texts = ws.write(_with_text(source, classes.join(weak.select("class").distinct(), "class"), "class").select("class", "text"), "weak-texts")
+    frequent = _frequent(weak_texts.where(F.pmod("class", F.lit(SAMPLE)) == 0).select("text"), bands, piece)
+    heads = weak_texts.select("text").mapInArrow(_heads(bands, frequent, piece), "shingle long, class long").distinct()
     heads = ws.write(heads, "heads")
+    ws.drop("weak-texts")
     heads = heads.join(weak, "class")
     majors, m = F.count_if("major"), F.count("*")
     # Tiles of texts that are not minor, and of minor ones where they don't fit into the one tile of the others.

@@ -274,6 +274,39 @@ def test_jaccard_at_the_ends_of_bands(spark, hot):
     assert sum(want.values()) > 300
 
 
+@pytest.mark.parametrize("sample", [1, 8])
+def test_jaccard_near_copies_meet_about_once(monkeypatch, spark, sample):
+    """Many near copies of one text and a passage that unlike texts share: few more meetings than pairs that link, and no link lost."""
+    monkeypatch.setattr(jaccard, "SAMPLE", sample, raising=False)
+    met = []
+    write = jaccard.Workspace.write
+
+    def counted(self, df, table, *partition_by):
+        out = write(self, df, table, *partition_by)
+        if table == "heads":
+            met.append(sum(r["count"] * (r["count"] - 1) // 2 for r in out.groupBy("shingle").count().collect()))
+        return out
+
+    monkeypatch.setattr(jaccard.Workspace, "write", counted)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    rows = []
+    for _ in range(240):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.randrange(1, 7)):
+            copy[i] = word()
+        rows.append(" ".join(copy))
+        rows.append(" ".join([word() for _ in range(80)] + passage))
+    rows = list(enumerate(rows))
+    want = collections.Counter(i for pair in pairs_of(rows)[1] for i in pair)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_similar for r in jaccard.similar_groups(df, piece=60_000).collect()}
+    assert got == {i: want[i] for i, _ in rows}
+    assert sum(want.values()) > 20_000
+    assert 0 < met[0] < 4 * sum(want.values()) // 2
+
+
 def test_jaccard_edge_cases(spark, docs, empty):
     assert jaccard.similar_groups(empty).count() == 0
     kept = jaccard.keep_one(docs)
