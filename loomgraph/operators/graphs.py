@@ -153,35 +153,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def split_to_cap(edges: list[tuple], cap: int) -> list[list]:
-    """Components of one weighted graph; while one exceeds ``cap`` its weakest edge goes. Singletons are dropped."""
-    todo, done = [sorted(edges, key=lambda e: (e[2], e[0], e[1]))], []
-    while todo:
-        es = todo.pop()
-        parent: dict = {}
-
-        def find(x):
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b, _ in es:
-            parent[find(a)] = find(b)
-        groups: dict = {}
-        for e in es:
-            groups.setdefault(find(e[0]), []).append(e)
-        for part in groups.values():
-            nodes = sorted({x for a, b, _ in part for x in (a, b)})
-            if len(nodes) <= cap:
-                done.append(nodes)
-            else:
-                todo.append(part[1:])
-    return sorted(done)
+    """Components of one weighted graph; while one exceeds ``cap`` its weakest edge goes. Singletons are dropped.
+
+    Taking the weakest edges away undoes, in reverse, joining nodes by the strongest edges
+    first. What is left are the largest joined groups within the cap, so that one pass over
+    the sorted edges finds them: a group is done when it would join to more than ``cap``.
+    """
+    parent: dict = {}
+    members: dict = {}  # of groups that have an edge and are within the cap
+    done = []
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    size: dict = {}
+    for a, b, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1]), reverse=True):
+        x, y = find(a), find(b)
+        if x == y:
+            if x not in members and size.get(x, 1) == 1 <= cap:  # an edge of a node to itself
+                members[x] = [x]
+            continue
+        if size.get(x, 1) < size.get(y, 1):
+            x, y = y, x
+        parent[y] = x
+        size[x] = size.get(x, 1) + size.get(y, 1)
+        if size[x] <= cap:
+            members[x] = members.pop(x, [x]) + members.pop(y, [y])
+        else:
+            done += [sorted(members.pop(g)) for g in (x, y) if g in members]
+    return sorted(done + [sorted(m) for m in members.values()])
 
 
 def capped_clusters(edges: DataFrame, cap: int) -> DataFrame:
-    """Connected clusters of at most ``cap`` nodes, cut component by component: (cluster, node)."""
+    """Connected clusters of at most ``cap`` nodes, cut component by component: (cluster, node). The edges are written once, as they are read twice."""
+    edges = Rounds(edges.sparkSession, "clusters").write(edges.select("a", "b", "weight"))
     comp = components(edges).select(F.col("node").alias("a"), "component")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
