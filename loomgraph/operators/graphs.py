@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot
@@ -35,6 +36,152 @@ def cooccurrence_edges(links: DataFrame, tau: float, min_shared: int, max_df_sha
     return a.join(b, "term_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(1 / F.log(1 + F.col("df"))).alias("weight")).where(F.col("shared") >= min_shared)
 
 
+#: Blocks that a table of vectors is cut into (fewer where they would hold less than LEAST rows). Their number is fixed, so
+#: that copies grow with the rows alone; only beyond MOST rows to a block there are more blocks.
+BLOCKS, LEAST, MOST = 24, 256, 131_072
+#: Rows of either side that meet in one matrix product.
+SLICE = 1024
+
+
+def _blocks(n: int) -> int:
+    return max(1, min(BLOCKS, -(-n // LEAST)), -(-n // MOST))
+
+
+def _clean(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+
+
+def _block_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _matrix(v: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+
+
+def _slack(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, type]:
+    """How much less a product in single precision may be, by row of x, and the precision to use: double for huge values."""
+    far, wide = np.sqrt((x * x).sum(1)), float(np.sqrt((y * y).sum(1).max(initial=0.0)))
+    if not max(far.max(initial=0.0), wide) < 1e15:
+        return np.zeros(len(x)), np.float64
+    return (x.shape[1] + 8) * 2.0**-22 * far * wide + 1e-36, np.float32
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of the rows i of x and j of y in double precision."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 65_536):
+        out[s : s + 65_536] = np.einsum("ij,ij->i", x[i[s : s + 65_536]], y[j[s : s + 65_536]])
+    return out
+
+
+class _Nearest:
+    """The k nearest of each query so far, by similarity rounded to 12 digits, then id.
+
+    Products are taken in single precision; what may reach a query's k is taken again in double.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.sim, self.name = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, names: np.ndarray, y: np.ndarray) -> None:
+        slack, kind = _slack(self.x, y)
+        y1 = y.astype(kind).T
+        for s in range(0, len(self.ids), SLICE):
+            at = slice(s, s + SLICE)
+            sim = self.x[at].astype(kind) @ y1
+            least = self.sim[at, -1] - slack[at]
+            if np.isneginf(least).any():  # not k yet: the k best of this product will do
+                sim[self.ids[at, None] == names[None, :]] = -np.inf
+                if sim.shape[1] > self.k:
+                    least = np.maximum(least, np.partition(sim, -self.k, axis=1)[:, -self.k] - 2 * slack[at])
+            rows = np.flatnonzero(sim.max(axis=1) >= least)
+            i, j = np.divmod(np.flatnonzero(sim[rows] >= least[rows, None]), sim.shape[1])
+            i = rows[i] + s
+            other = self.ids[i] != names[j]
+            self._add(i[other], names[j[other]], _exact(self.x, y, i[other], j[other]))
+
+    def _add(self, i: np.ndarray, name: np.ndarray, sim: np.ndarray) -> None:
+        if not len(i):
+            return
+        rows = np.unique(i)
+        at = np.concatenate([np.repeat(rows, self.k), i])
+        name, sim = np.concatenate([self.name[rows].ravel(), name]), np.concatenate([self.sim[rows].ravel(), sim])
+        order = np.lexsort((name, -np.round(sim, 12), at))
+        at, name, sim = at[order], name[order], sim[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        keep = nth < self.k
+        self.name[at[keep], nth[keep]], self.sim[at[keep], nth[keep]] = name[keep], sim[keep]
+
+    def found(self) -> pa.RecordBatch:
+        """Ranked by query id: rows that share an id share its k."""
+        ids, name, sim = np.repeat(self.ids, self.k), self.name.ravel(), self.sim.ravel()
+        full = np.isfinite(sim)
+        ids, name, sim = ids[full], name[full], sim[full]
+        order = np.lexsort((name, -np.round(sim, 12), ids))
+        ids, name, sim = ids[order], name[order], sim[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+        rank = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)])) + 1
+        keep = rank <= self.k
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(name[keep]), pa.array(sim[keep]), pa.array(rank[keep].astype(np.int32))], names=["query_id", "neighbour_id", "sim", "rank"])
+
+
+_NEAR = "query_id long, neighbour_id long, sim double, rank int"
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Exact k nearest by dot product of unit vectors, self left out; ties by id. (query_id, neighbour_id, sim, rank).
+
+    Queries are cut into blocks; a task holds one block with its k nearest so far, while
+    all vectors (or a part of them, where there are few queries) stream past it. Copies
+    grow with the rows, products with both sides; for much larger tables use ``lsh_knn``.
+    Null and empty vectors are left out.
+    """
+    q, d = _clean(queries), _clean(vectors)
+    nq = _blocks(q.count())
+    nd = max(1, min(BLOCKS // nq, _blocks(d.count())))
+    task = lambda qb, db: (qb * nd + db).cast("int")
+    one = q.select(F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("db"), "id", "v").select(task(_block_of(nq), F.col("db")).alias("task"), F.lit(0).alias("side"), "id", "v")
+    two = d.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "id", "v").select(task(F.col("qb"), _block_of(nd)).alias("task"), F.lit(1).alias("side"), "id", "v")
+
+    def finite(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = _matrix(b.column("v"), b.num_rows)
+        ok = np.isfinite(x).all(1)
+        return b.column("id").to_numpy(zero_copy_only=False)[ok], x[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, xs, near = [], [], None
+        for b in batches:
+            side = b.column("side").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(side, 1))
+            own, rest = b.slice(0, cut), b.slice(cut)
+            if cut:
+                i, x = finite(own)
+                ids.append(i)
+                xs.append(x)
+            if near is None and rest.num_rows:
+                if not ids:
+                    return
+                near = _Nearest(np.concatenate(ids), np.concatenate(xs), k)
+            for s in range(0, rest.num_rows, 2 * SLICE):
+                names, y = finite(rest.slice(s, 2 * SLICE))
+                if len(names):
+                    near.meet(names, y)
+        if near is not None:
+            found = near.found()
+            for s in range(0, found.num_rows, 100_000):
+                yield found.slice(s, 100_000)
+
+    near = one.union(two).repartitionById(nq * nd, F.col("task")).sortWithinPartitions("side").select("side", "id", "v").mapInArrow(run, _NEAR)
+    if nd == 1:
+        return near
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "neighbour_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _block_pairs(queries: DataFrame, vectors: DataFrame, block: int):
     """Both sides cut into hash blocks of about ``block`` rows, each copied to the blocks it meets."""
 
@@ -57,32 +204,6 @@ def _product(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray,
     return a["id"].to_numpy(), b["id"].to_numpy()[order], (x @ y.T)[:, order]
 
 
-_NEAR = "query_id long, neighbour_id long, sim double"
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """Exact k nearest by dot product of unit vectors, self left out; ties by id. (query_id, neighbour_id, sim, rank).
-
-    Query blocks meet data blocks; each pair of blocks is one matrix product and keeps k
-    per query, then the k best of all blocks are ranked. The number of block pairs grows
-    with both sides; for much larger tables use ``lsh_knn``. Null and empty vectors are left out.
-    """
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "sim": []})
-        ids, names, sim = _product(a, b)
-        sim[ids[:, None] == names[None, :]] = -np.inf
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids)), top.shape[1])
-        found = pd.DataFrame({"query_id": ids[rows], "neighbour_id": names[top.ravel()], "sim": sim[rows, top.ravel()]})
-        return found[np.isfinite(found["sim"])]
-
-    part = _block_pairs(queries, vectors, block).applyInPandas(best, _NEAR)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "neighbour_id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def pairs_above(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """All pairs (a < b) with a dot product above the threshold; only those leave their block product."""
 

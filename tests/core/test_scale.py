@@ -2,6 +2,9 @@
 
 import time
 
+import numpy as np
+import pytest
+
 from loomgraph.operators import graphs
 
 
@@ -11,3 +14,34 @@ def test_a_long_chain_is_cut_in_one_pass():
     assert graphs.split_to_cap(chain, 12) == [list(range(29_989, 30_001))]
     assert time.monotonic() - began < 20
     assert graphs.split_to_cap([(1, 1, 5.0), (1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0)], 2) == [[1], [3, 4]]
+
+
+def _vectors(spark, n, size=8, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, size))
+    x[n // 2 : n // 2 + 40] = x[:40]  # exact copies: ties
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    return df, x.astype(np.float64)
+
+
+def test_knn_ties_are_by_rounded_similarity_then_id(spark):
+    # 5 is nearer than 3 by less than the 12 digits that count
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.5, 0.1]), (5, [0.5 + 1e-14, 0.1])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.neighbour_id) for r in graphs.knn(v.where("vec_id = 1"), v, 1).collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_knn_over_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(graphs, "BLOCKS", blocks)
+    v, x = _vectors(spark, 1300)
+    sim = np.round(x @ x.T, 12)
+    np.fill_diagonal(sim, -9)
+    for q in (range(1300), range(30)):
+        want = sorted((i, int(j), r + 1) for i in q for r, j in enumerate(np.lexsort((np.arange(1300), -sim[i]))[:7]))
+        assert sorted((r.query_id, r.neighbour_id, r["rank"]) for r in graphs.knn(v.where(f"vec_id < {len(q)}"), v, 7).collect()) == want
+
+
+def test_copies_of_vectors_do_not_grow_with_the_table():
+    assert graphs._blocks(10_000) == graphs._blocks(100_000) == graphs._blocks(3_000_000) == graphs.BLOCKS
+    assert graphs._blocks(0) == 1 and graphs._blocks(100 * graphs.MOST) == 100
