@@ -182,39 +182,45 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _block_pairs(queries: DataFrame, vectors: DataFrame, block: int):
-    """Both sides cut into hash blocks of about ``block`` rows, each copied to the blocks it meets."""
+def _above(x: np.ndarray, y: np.ndarray, threshold: float, strict: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sim) of all rows of x and y whose dot product is above (or at) the threshold, slice by slice."""
+    slack, kind = _slack(x, y)
+    y1, least = y.astype(kind), threshold - slack[:, None]
+    for s in range(0, len(x), SLICE):
+        for t in range(0, len(y), 2 * SLICE):
+            near = x[s : s + SLICE].astype(kind) @ y1[t : t + 2 * SLICE].T >= least[s : s + SLICE]
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            sim = _exact(x, y, i + s, j + t)
+            keep = sim > threshold if strict else sim >= threshold
+            yield i[keep] + s, j[keep] + t, sim[keep]
 
-    def cut(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        df = df.where("embedding is not null and size(embedding) > 0")
-        n = max(1, -(-df.count() // block))
-        return df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)), n
 
-    q, nq = cut(queries, "qb")
-    d, nd = cut(vectors, "db")
-    left = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-    right = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db"))
+def _in_pairs(rows: DataFrame, n: Column) -> DataFrame:
+    """``rows(id, v, ...)`` cut into ``n`` blocks, each row copied to the n pairs of blocks (one <= two) that its block is in."""
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+    return cut.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("other")
 
 
-def _product(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of either side (the right one sorted) and the dot products."""
-    x, y = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
-    order = np.argsort(b["id"].to_numpy(), kind="stable")
-    return a["id"].to_numpy(), b["id"].to_numpy()[order], (x @ y.T)[:, order]
+def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a < b) with a dot product above the threshold; only those leave the product of their two blocks.
 
-
-def pairs_above(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """All pairs (a < b) with a dot product above the threshold; only those leave their block product."""
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        ids, names, sim = _product(a, b)
-        i, j = np.nonzero((sim > threshold) & (ids[:, None] < names[None, :]))
-        return pd.DataFrame({"a": ids[i], "b": names[j], "sim": sim[i, j]})
-
-    return _block_pairs(vectors, vectors, block).applyInPandas(near, "a long, b long, sim double")
+    Either block is in one task's memory, its products are slices; each pair of blocks is met once.
+    """
+    v = _clean(vectors)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        own, ids, x = t.column("own").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"), t.num_rows)
+        left, right = own == t.column("one")[0].as_py(), own == t.column("two")[0].as_py()
+        a, b, same = ids[left], ids[right], bool((left & right).any())
+        for i, j, sim in _above(x[left], x[right], threshold):
+            p, q = a[i], b[j]
+            keep = p < q if same else p != q
+            p, q, sim = p[keep], q[keep], sim[keep]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(sim)], names=["a", "b", "sim"])
+
+    return _in_pairs(v, F.lit(_blocks(v.count()))).groupBy("one", "two").applyInArrow(near, "a long, b long, sim double")
 
 
 def knn_edges(vectors: DataFrame, k: int, threshold: float, mutual: bool = True) -> DataFrame:

@@ -45,3 +45,14 @@ def test_knn_over_blocks(spark, monkeypatch, blocks):
 def test_copies_of_vectors_do_not_grow_with_the_table():
     assert graphs._blocks(10_000) == graphs._blocks(100_000) == graphs._blocks(3_000_000) == graphs.BLOCKS
     assert graphs._blocks(0) == 1 and graphs._blocks(100 * graphs.MOST) == 100
+
+
+@pytest.mark.parametrize("most", [200, graphs.MOST])
+def test_pairs_above_over_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(graphs, "MOST", most)
+    v, x = _vectors(spark, 1300)
+    want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T > 0.6, 1)), strict=True))
+    met = graphs.pairs_above(v, 0.6)
+    assert sorted((r.a, r.b) for r in met.collect()) == want
+    plan = met._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan  # each pair of blocks is met once, not from either side
