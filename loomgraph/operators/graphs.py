@@ -223,6 +223,31 @@ def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
     return _in_pairs(v, F.lit(_blocks(v.count()))).groupBy("one", "two").applyInArrow(near, "a long, b long, sim double")
 
 
+def with_near(members: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (theme_id, id) of ``members(theme_id, id, v)`` that have another id of their theme with a dot product at or above the threshold.
+
+    Themes are cut into blocks by their size; each pair of a theme's blocks is met once.
+    """
+    n = members.groupBy("theme_id").agg(F.count("*").alias("n"))
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / (4 * SLICE)), F.lit(BLOCKS)), F.ceil(F.col("n") / MOST)).cast("int")
+    rows = members.where("theme_id is not null and id is not null").join(n.select("theme_id", blocks.alias("blocks")), "theme_id")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        own, ids, x = t.column("own").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("v"), t.num_rows)
+        left, right = own == t.column("one")[0].as_py(), own == t.column("two")[0].as_py()
+        a, b, hits = ids[left], ids[right], [ids[:0]]
+        for i, j, _ in _above(x[left], x[right], threshold, strict=False):
+            other = a[i] != b[j]
+            hits.append(np.unique(np.concatenate([a[i[other]], b[j[other]]])))
+        found = pa.array(np.unique(np.concatenate(hits)))
+        yield pa.RecordBatch.from_arrays([pa.array([t.column("theme_id")[0].as_py()] * len(found), t.schema.field("theme_id").type), found], names=["theme_id", "id"])
+
+    kind = {c: members.schema[c].dataType.simpleString() for c in ("theme_id", "id")}
+    met = _in_pairs(rows, F.col("blocks")).select("theme_id", "id", "v", "own", "one", "two").groupBy("theme_id", "one", "two")
+    return met.applyInArrow(near, f"theme_id {kind['theme_id']}, id {kind['id']}").distinct()
+
+
 def knn_edges(vectors: DataFrame, k: int, threshold: float, mutual: bool = True) -> DataFrame:
     """Edges a < b with similarity >= threshold where both (or either) rank the other among their k nearest."""
     near = knn(vectors, vectors, k).where(F.col("sim") >= threshold).select(F.least("query_id", "neighbour_id").alias("a"), F.greatest("query_id", "neighbour_id").alias("b"), "sim")

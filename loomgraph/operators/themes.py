@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, dot, is_garbage, slug
+from ..functions.text import STOP_WORDS, is_garbage, slug
+from .graphs import with_near
 
 
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -133,8 +134,7 @@ def directness(members: DataFrame, vectors: DataFrame, threshold: float) -> Data
 
     ``members(theme_id, pass, chunk_id)``, ``vectors(chunk_id, embedding)`` of length one.
     """
-    m = members.where("pass = 'merged'").join(vectors.where("embedding is not null"), "chunk_id").select("theme_id", "chunk_id", "embedding")
-    a, b = m.toDF("theme_id", "chunk_id", "x"), m.toDF("theme_id", "other", "y")
-    near = a.join(b, "theme_id").where(F.col("chunk_id") != F.col("other")).where(dot(F.col("x"), F.col("y")) >= threshold).select("theme_id", "chunk_id", F.lit(True).alias("near")).distinct()
+    m = members.where("pass = 'merged'").join(vectors.where("embedding is not null and size(embedding) > 0"), "chunk_id").select("theme_id", F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
+    near = with_near(m, threshold).select("theme_id", F.col("id").alias("chunk_id"), F.lit(True).alias("near"))
     badge = F.when(F.col("pass") == "global_similarity", "direct").when(F.col("pass") == "relatedness", "indirect").when(F.col("near"), "direct").otherwise("indirect")
     return members.join(near, ["theme_id", "chunk_id"], "left").select("theme_id", "chunk_id", badge.alias("badge"))

@@ -4,8 +4,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.operators import graphs
+from loomgraph.operators import graphs, themes
 
 
 def test_a_long_chain_is_cut_in_one_pass():
@@ -56,3 +57,15 @@ def test_pairs_above_over_blocks(spark, monkeypatch, most):
     assert sorted((r.a, r.b) for r in met.collect()) == want
     plan = met._jdf.queryExecution().toString()
     assert "FlatMapCoGroups" not in plan  # each pair of blocks is met once, not from either side
+
+
+def test_directness_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "SLICE", 30)  # themes of several blocks
+    v, x = _vectors(spark, 900)
+    rows = v.select((F.col("vec_id") % 2).alias("theme_id"), F.lit("merged").alias("pass"), F.col("vec_id").alias("chunk_id"))
+    vectors = v.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    met = themes.directness(rows.union(spark.createDataFrame([(0, "merged", 5000), (1, "relatedness", 1)], rows.schema)), vectors, 0.95)
+    same = (x @ x.T >= 0.95) & (np.arange(900)[:, None] % 2 == np.arange(900) % 2) & ~np.eye(900, dtype=bool)
+    want = sorted([(i % 2, i, "direct" if same[i].any() else "indirect") for i in range(900)] + [(0, 5000, "indirect"), (1, 1, "indirect")])
+    assert sorted(map(tuple, met.collect())) == want
+    assert "aggregate(zip_with" not in met._jdf.queryExecution().toString()  # no dot product by joined row
