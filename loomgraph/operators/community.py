@@ -39,10 +39,10 @@ def leiden(edges: list[tuple], resolution: float = 1.0, iterations: int = 10, se
         weight: dict[int, float] = {}
         for i, c in enumerate(label):
             weight[c] = weight.get(c, 0.0) + deg[i]
-        queue, waiting = list(rng.permutation(len(g))), set(range(len(g)))
+        queue, waiting = rng.permutation(len(g)).tolist(), set(range(len(g)))
         changed, at = False, 0
         while at < len(queue):
-            i = int(queue[at])
+            i = queue[at]
             at += 1
             waiting.discard(i)
             old = label[i]
@@ -51,7 +51,15 @@ def leiden(edges: list[tuple], resolution: float = 1.0, iterations: int = 10, se
             for j, w in g[i].items():
                 if allowed is None or allowed[j] == allowed[i]:
                     gain[label[j]] = gain.get(label[j], 0.0) + w
-            best = max(sorted(gain), key=lambda c: (round(gain[c] - resolution * deg[i] * weight.get(c, 0.0) / total, 12), c == old))
+            # The best gain, rounded to 12 digits; of equal ones the old community, else the smallest.
+            share = resolution * deg[i]
+            best, most = old, gain[old] - share * weight.get(old, 0.0) / total
+            for c, w in gain.items():
+                value = w - share * weight.get(c, 0.0) / total
+                if value > most - 2e-12 and c != best:
+                    x, y = round(value, 12), round(most, 12)
+                    if x > y or (x == y and best != old and (c == old or c < best)):
+                        best, most = c, value
             weight[best] = weight.get(best, 0.0) + deg[i]
             if best != old:
                 label[i] = best
