@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graphs, themes
+from loomgraph.operators import cards, graphs, themes
 
 
 def test_a_long_chain_is_cut_in_one_pass():
@@ -69,3 +69,11 @@ def test_directness_by_blocks(spark, monkeypatch):
     want = sorted([(i % 2, i, "direct" if same[i].any() else "indirect") for i in range(900)] + [(0, 5000, "indirect"), (1, 1, "indirect")])
     assert sorted(map(tuple, met.collect())) == want
     assert "aggregate(zip_with" not in met._jdf.queryExecution().toString()  # no dot product by joined row
+
+
+def test_luhn_takes_many_words_in_one_pass():
+    lines = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(5_000)] + ["common words are common words"] * 3
+    began = time.monotonic()
+    score = cards.luhn(lines)
+    assert len(score) == 5_003 and score[:5_000].max() == 0 and score[-1] == 16 / 5
+    assert time.monotonic() - began < 20
