@@ -41,14 +41,25 @@ def propagated_pairs(direct: DataFrame, anc: DataFrame, *keys: str) -> DataFrame
     return direct.select("chunk_id", "term_id", *keys).union(up).distinct()
 
 
-def below(direct: DataFrame, anc: DataFrame, terms: DataFrame) -> DataFrame:
-    """Propagated pairs that end at ``terms(term_id)``: only their part of the closure meets the links."""
-    near = anc.join(terms.select(F.col("term_id").alias("ancestor")), "ancestor", "left_semi").select("term", "ancestor")
-    return propagated_pairs(direct, near).join(terms.select("term_id"), "term_id", "left_semi")
+def one_below(direct: DataFrame, anc: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, term_id): each mention of ``terms(term_id)`` or of a descendant, under one of them; enough to count their chunks."""
+    tops = terms.select("term_id")
+    own = tops.select(F.col("term_id").alias("term"), F.col("term_id").alias("ancestor"))
+    home = anc.join(own.select("ancestor"), "ancestor", "left_semi").select("term", "ancestor").union(own).groupBy("term").agg(F.min("ancestor").alias("top"))
+    return direct.join(home, F.col("term_id") == F.col("term")).select("chunk_id", F.col("top").alias("term_id"))
 
 
 def support(direct: DataFrame, anc: DataFrame, *keys: str) -> DataFrame:
-    """Per term (and keys): distinct chunks that mention it, and those that mention it or a descendant."""
-    wide = propagated_pairs(direct, anc, *keys).groupBy("term_id", *keys).agg(F.count("*").alias("with_descendants"))
+    """Per term (and keys): distinct chunks that mention it, and those that mention it or a descendant. ``direct`` is distinct.
+
+    A mention takes its ancestors along as one list; a chunk's lists meet in one place,
+    where each ancestor counts once. Terms that nothing is below count their own mentions.
+    """
     near = direct.groupBy("term_id", *keys).agg(F.count("*").alias("direct"))
-    return wide.join(near, ["term_id", *keys], "left").select("term_id", *keys, F.coalesce("direct", F.lit(0)).alias("direct"), "with_descendants")
+    lists = anc.repartition("term").groupBy("term").agg(F.collect_list("ancestor").alias("up"))
+    inner = anc.select(F.col("ancestor").alias("term_id")).distinct()
+    met = direct.join(lists, F.col("term_id") == F.col("term")).select("chunk_id", *keys, "up")
+    own = direct.join(inner, "term_id", "left_semi").select("chunk_id", *keys, F.array("term_id").alias("up"))
+    once = met.union(own).repartition("chunk_id").groupBy("chunk_id", *keys).agg(F.array_distinct(F.flatten(F.collect_list("up"))).alias("up"))
+    wide = once.select(*keys, F.explode("up").alias("term_id")).groupBy("term_id", *keys).agg(F.count("*").alias("with_descendants"))
+    return near.join(wide, ["term_id", *keys], "full").select("term_id", *keys, F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("with_descendants", "direct").alias("with_descendants"))

@@ -98,7 +98,7 @@ class Graph:
                 tree = tree.drop("parent", "depth", "see_also").join(flat, "term_id")
         tree = self.put(f"tree/{facet}", tree)
         also = tree.select("term_id", "see_also")
-        rooted = projection.with_single_root(tree.drop("see_also"), support.below(direct, anc, tree.where("parent is null")), root_id).join(also, "term_id", "left")
+        rooted = projection.with_single_root(tree.drop("see_also"), support.one_below(direct, anc, tree.where("parent is null")), root_id).join(also, "term_id", "left")
         return rooted.select(F.col("term_id").alias("shelf_id"), "term_id", F.col("term_id").alias("label"), "parent", F.col("depth").cast("int").alias("depth"), F.col("direct").cast("long").alias("direct"), F.col("with_descendants").cast("long").alias("chunk_count"), F.coalesce("see_also", F.array().cast("array<string>")).alias("see_also"), F.lit(facet).alias("facet"))
 
     def attach(self) -> DataFrame:

@@ -236,7 +236,7 @@ def shelf_neighbors(t):
 
 @query("SELECT count(*) AS n_bearing, count(DISTINCT r.chunk_id) AS n_attached, count(DISTINCT r.chunk_id) / count(*) AS share FROM (SELECT DISTINCT chunk_id FROM links) c LEFT JOIN (SELECT DISTINCT chunk_id FROM resolved WHERE mode <> 'orphan') r ON c.chunk_id = r.chunk_id")
 def audit_coverage(t):
-    return quality.coverage(t.links, t.resolved.where("mode <> 'orphan'"))
+    return quality.coverage(t.pairs, t.resolved.where("mode <> 'orphan'"))
 
 
 @query(f"""SELECT bucket, count(*) AS n_chunks FROM (SELECT CASE WHEN nd = b AND nm = b THEN 'exact' WHEN nm = b THEN 'denorm_superset' WHEN nd = b THEN 'mentions_superset' ELSE 'partial' END AS bucket

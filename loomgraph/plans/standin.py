@@ -72,9 +72,16 @@ class Tables:
         inner = e.select(F.explode(F.array("child", "parent")).alias("id")).where("id not like 'P:%'").distinct()
         return p.unionByName(inner.select("id", F.lower(F.regexp_replace("id", "^[A-Z]+:", "")).alias("label"), F.array().cast("array<string>").alias("synonyms"), F.lit(False).alias("obsolete")))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(chunk_id, term_id, confidence) with the best confidence of each pair; line items meet by part and order in one exchange."""
+        part = self.read("part").select(F.col("p_partkey").alias("l_partkey"))
+        best = self.read("lineitem").select("l_orderkey", "l_partkey", "l_discount").join(part, "l_partkey", "left_semi").groupBy("l_orderkey", "l_partkey").agg(F.max(1 - F.col("l_discount")).alias("confidence"))
+        return self._phases.write(best.select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("P:"), F.col("l_partkey")).alias("term_id"), "confidence"))
+
     @cached_property
     def direct(self) -> DataFrame:
-        return support.direct_pairs(support.above_floor(self.links, FLOOR))
+        return support.above_floor(self.pairs, FLOOR).select("chunk_id", "term_id")
 
     @cached_property
     def support(self) -> DataFrame:
@@ -93,7 +100,7 @@ class Tables:
     @cached_property
     def shelves(self) -> DataFrame:
         """(shelf_id, term_id, label, parent, depth, direct, chunk_count) under a synthetic root."""
-        s = projection.with_single_root(self.tree, support.below(self.direct, self.anc, self.tree.where("parent is null")), ROOT)
+        s = projection.with_single_root(self.tree, support.one_below(self.direct, self.anc, self.tree.where("parent is null")), ROOT)
         label = F.lower(F.regexp_replace("term_id", "^[A-Za-z]+:", ""))
         return self._phases.write(s.select(F.col("term_id").alias("shelf_id"), "term_id", label.alias("label"), "parent", "depth", "direct", F.col("with_descendants").alias("chunk_count")))
 
@@ -105,7 +112,7 @@ class Tables:
     @cached_property
     def resolved(self) -> DataFrame:
         s = self.shelves
-        return attach.resolve(self.links, s.select("shelf_id", "term_id", "depth"), self.see_also(s), self.anc, ROOT)
+        return attach.resolve(self.pairs, s.select("shelf_id", "term_id", "depth"), self.see_also(s), self.anc, ROOT)
 
     @property
     def denorm(self) -> DataFrame:

@@ -1,12 +1,13 @@
 """Cost that must not outgrow the input, and results at the edges of blocks."""
 
+import os
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cards, graphs, themes
+from loomgraph.operators import cards, graphs, ontology, support, themes
 
 
 def test_a_long_chain_is_cut_in_one_pass():
@@ -77,3 +78,35 @@ def test_luhn_takes_many_words_in_one_pass():
     score = cards.luhn(lines)
     assert len(score) == 5_003 and score[:5_000].max() == 0 and score[-1] == 16 / 5
     assert time.monotonic() - began < 20
+
+
+def test_support_takes_ancestors_along_as_lists(spark):
+    rng = np.random.default_rng(4)
+    edges = {(f"n{i}", f"n{int(rng.integers(0, i))}") for i in range(1, 60) for _ in range(2)}
+    anc = ontology.closure(spark.createDataFrame(sorted(edges), "child string, parent string"))
+    up = {}
+    for term, above in anc.collect():
+        up.setdefault(term, set()).add(above)
+    pairs = sorted({(int(rng.integers(0, 50)), f"n{rng.integers(0, 60)}", "xy"[int(rng.integers(0, 2))]) for _ in range(300)})
+    direct = spark.createDataFrame(pairs, "chunk_id long, term_id string, facet string")
+    want = {}
+    for chunk, term, facet in pairs:
+        for x in {term} | up.get(term, set()):
+            want.setdefault((x, facet), set()).add(chunk)
+    found = support.support(direct, anc, "facet")
+    got = {(r.term_id, r.facet): (r.direct, r.with_descendants) for r in found.collect()}
+    assert got == {k: (sum(p[1:] == k for p in pairs), len(v)) for k, v in want.items()}
+    tops = spark.createDataFrame([("n1",), ("n7",)], "term_id string")
+    assert {r.chunk_id for r in support.one_below(direct, anc, tops).collect()} == {c for c, t, _ in pairs if {t, *up.get(t, ())} & {"n1", "n7"}}
+    assert "collect_list(ancestor" in found._jdf.queryExecution().toString()  # one row a mention, not one an ancestor
+
+
+def test_line_items_are_read_once_for_shelves_and_attachment(spark, monkeypatch):
+    links = pytest.importorskip("loomgraph.plans.standin")
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("driver tables are absent")
+    seen, read = [], links.Tables.read
+    monkeypatch.setattr(links.Tables, "read", lambda self, name: (seen.append(name), read(self, name))[1])
+    t = links.Tables(spark, "/root/testdata/sf0.001")
+    assert t.shelves.count() > 1 and t.resolved.count() > 1
+    assert seen.count("lineitem") == 1
