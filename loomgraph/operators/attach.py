@@ -29,12 +29,13 @@ def resolve(ids: DataFrame, shelves: DataFrame, see_also: DataFrame, anc: DataFr
 
 def edges(resolved: DataFrame) -> DataFrame:
     """(chunk, shelf, lifted_from): empty where any id was direct, else the sorted ids."""
-    g = resolved.groupBy("chunk_id", "shelf_id").agg(F.bool_or(F.col("mode") == "direct").alias("direct"), F.array_sort(F.collect_set("term_id")).alias("ids"))
+    g = resolved.repartition("chunk_id").groupBy("chunk_id", "shelf_id").agg(F.bool_or(F.col("mode") == "direct").alias("direct"), F.array_sort(F.collect_set("term_id")).alias("ids"))
     return g.select("chunk_id", "shelf_id", F.when(F.col("direct"), F.array().cast("array<string>")).otherwise(F.col("ids")).alias("lifted_from"))
 
 
 def shelf_ids(attached: DataFrame) -> DataFrame:
-    return attached.groupBy("chunk_id").agg(F.array_sort(F.collect_set("shelf_id")).alias("shelf_ids"))
+    """(chunk_id, sorted shelf_ids); a chunk's shelves are made distinct after they have met, with one exchange."""
+    return attached.select("chunk_id", "shelf_id").repartition("chunk_id").groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.collect_list("shelf_id"))).alias("shelf_ids"))
 
 
 def mode_counts(resolved: DataFrame) -> DataFrame:
