@@ -33,6 +33,11 @@ def edges(resolved: DataFrame) -> DataFrame:
     return g.select("chunk_id", "shelf_id", F.when(F.col("direct"), F.array().cast("array<string>")).otherwise(F.col("ids")).alias("lifted_from"))
 
 
+def direct_edges(resolved: DataFrame) -> DataFrame:
+    """The direct ones of ``edges``, for which nothing is gathered; an edge is repeated for each id that gives it."""
+    return resolved.where("mode = 'direct'").select("chunk_id", "shelf_id", F.array().cast("array<string>").alias("lifted_from"))
+
+
 def shelf_ids(attached: DataFrame) -> DataFrame:
     """(chunk_id, sorted shelf_ids); a chunk's shelves are made distinct after they have met, with one exchange."""
     return attached.select("chunk_id", "shelf_id").repartition("chunk_id").groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.collect_list("shelf_id"))).alias("shelf_ids"))

@@ -254,7 +254,7 @@ def audit_parity(t):
 
 @query("SELECT s.shelf_id, s.direct, coalesce(e.n, 0) AS actual, coalesce(e.n, 0) - s.direct AS delta FROM shelves s LEFT JOIN (SELECT shelf_id, count(*) AS n FROM (SELECT chunk_id, shelf_id FROM resolved GROUP BY ALL HAVING bool_or(mode = 'direct')) GROUP BY shelf_id) e ON e.shelf_id = s.shelf_id WHERE coalesce(e.n, 0) <> s.direct")
 def audit_drift(t):
-    return quality.drift(t.shelves, attach.edges(t.resolved))
+    return quality.drift(t.shelves, attach.direct_edges(t.resolved))
 
 
 @query(_SA + "SELECT (SELECT count(*) FROM shelves WHERE parent IS NOT NULL AND parent NOT IN (SELECT shelf_id FROM shelves)) AS dangling, (SELECT count(*) FROM sa WHERE term = ancestor) AS cycles, (SELECT count(*) FROM shelves WHERE parent IS NULL) AS roots")

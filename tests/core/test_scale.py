@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import cards, graphs, ontology, support, themes
+from loomgraph.operators import attach, cards, graphs, ontology, support, themes
 
 
 def test_a_long_chain_is_cut_in_one_pass():
@@ -110,3 +110,5 @@ def test_line_items_are_read_once_for_shelves_and_attachment(spark, monkeypatch)
     t = links.Tables(spark, "/root/testdata/sf0.001")
     assert t.shelves.count() > 1 and t.resolved.count() > 1
     assert seen.count("lineitem") == 1
+    direct = attach.direct_edges(t.resolved)
+    assert sorted(set(map(repr, direct.collect()))) == sorted(map(repr, attach.edges(t.resolved).where("size(lifted_from) = 0").collect()))
