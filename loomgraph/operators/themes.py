@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, is_garbage, slug
+from ..session import Rounds
 from .graphs import with_near
 
 
@@ -49,26 +55,61 @@ def merge_candidates(sim: dict, rel: dict, chunk_weight: float = 0.6, entity_wei
     return out + [{"pass": "relatedness", "chunks": rel[k][0], "entities": rel[k][1]} for k in sorted(rel) if k not in {p[1] for p in pairs}]
 
 
+#: So many different terms of its themes a task counts before it passes the counts on.
+MOST_TERMS = 500_000
+_WORD = re.compile(r"[a-z0-9_]{2,}")
+
+
 def theme_terms(docs: DataFrame) -> DataFrame:
-    """1- and 2-grams (stop words removed first) with their counts per theme: ``docs(theme_id, text)``."""
-    # Stop words are left out by the pattern itself: whole runs that equal none of them.
-    stop = "|".join(w for w in STOP_WORDS if len(w) > 1)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![a-z0-9_])(?!(?:{stop})(?![a-z0-9_]))([a-z0-9_]{{2,}})"), F.lit(1))
-    w = docs.select("theme_id", words.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = w.select("theme_id", F.explode(F.concat(F.col("w"), F.when(F.size("w") >= 2, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
-    return terms.groupBy("theme_id", "term").agg(F.count("*").alias("tf"))
+    """1- and 2-grams (stop words removed first) with their counts per theme: ``docs(theme_id, text)``.
+
+    Each task counts its own texts, so that counts are shuffled and not words.
+    """
+    stop, most = frozenset(STOP_WORDS), MOST_TERMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        kind = pa.null()
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for theme, c in seen.items():
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array([theme] * len(c), kind), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["theme_id", "term", "n"])
+            seen.clear()
+
+        size = 0
+        for b in batches:
+            kind = b.schema.field("theme_id").type
+            for theme, text in zip(b.column("theme_id").to_pylist(), b.column("text"), strict=True):
+                text = text.as_py()
+                if not text:
+                    continue
+                w = [x for x in _WORD.findall(text.lower()) if x not in stop]
+                c = seen.setdefault(theme, Counter())
+                size -= len(c)
+                c.update(w)
+                c.update(map(" ".join, zip(w, w[1:])))  # noqa: B905
+                size += len(c)
+                if size > most:
+                    yield from passed_on()
+                    size = 0
+        yield from passed_on()
+
+    counts = docs.select("theme_id", "text").mapInArrow(count, f"theme_id {docs.schema['theme_id'].dataType.simpleString()}, term string, n long")
+    return counts.groupBy("theme_id", "term").agg(F.sum("n").alias("tf"))
 
 
 def keywords(docs: DataFrame, top: int = 5, max_features: int = 2000, drop_garbage: bool = True) -> DataFrame:
     """Class-based tf-idf: tf * (ln((1 + n) / (1 + df)) + 1) over the most frequent terms overall; ties by term."""
-    tf = theme_terms(docs)
+    rounds = Rounds(docs.sparkSession, "terms")
+    tf = rounds.write(theme_terms(docs))  # read twice
     overall = tf.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(max_features)
     n = docs.agg(F.count_distinct("theme_id").alias("n"))
-    idf = overall.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    scored = tf.join(idf, "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 9))
     if drop_garbage:
-        scored = scored.where(~is_garbage(F.col("term")))
+        overall = overall.where(~is_garbage(F.col("term")))
+    # Written, lest the pattern be tried on every term of every theme.
+    idf = rounds.write(overall.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    scored = tf.join(idf, "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 9))
     rank = F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("score"), "term"))
     return scored.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= top).select("theme_id", "term", "score", "rank")
 

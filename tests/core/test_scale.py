@@ -112,3 +112,21 @@ def test_line_items_are_read_once_for_shelves_and_attachment(spark, monkeypatch)
     assert seen.count("lineitem") == 1
     direct = attach.direct_edges(t.resolved)
     assert sorted(set(map(repr, direct.collect()))) == sorted(map(repr, attach.edges(t.resolved).where("size(lifted_from) = 0").collect()))
+
+
+def test_keywords_count_where_the_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(themes, "MOST_TERMS", 5)  # counts are passed on again and again
+    docs = [("a", "The red ring and the red ring"), ("a", None), ("a", "with"), ("b", "red Ring_1 is a ring"), (None, "ring x")]
+    met = themes.theme_terms(spark.createDataFrame(docs, "theme_id string, text string"))
+    want = {("a", "red"): 2, ("a", "ring"): 2, ("a", "red ring"): 2, ("a", "ring red"): 1, ("b", "red"): 1, ("b", "ring_1"): 1, ("b", "ring"): 1, ("b", "red ring_1"): 1, ("b", "ring_1 ring"): 1, (None, "ring"): 1}
+    assert {(r.theme_id, r.term): r.tf for r in met.collect()} == want
+    assert "Generate" not in met._jdf.queryExecution().toString()  # no row a word
+
+
+def test_frequency_summary_scores_a_chunk_in_one_place(spark):
+    text = "Oil is oil. The apple is red! Is it? Apple and oil | 1 | 2 | and apple. Rain."
+    chunks = spark.createDataFrame([(1, text), (2, None), (3, " "), (4, "One. Two. Three."), (5, "One two."), (5, "Two. Two one.")], "chunk_id long, text string")
+    met = cards.frequency_summary(chunks, 2)
+    got = {r.chunk_id: r.summary for r in met.collect()}
+    assert got == {1: "Oil is oil. Apple and oil   and apple.", 4: "One. Two.", 5: "One two. Two."}
+    assert "Join" not in met._jdf.queryExecution().toString()
